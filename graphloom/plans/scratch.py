@@ -19,7 +19,6 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = f"file://{tempfile.gettempdir()}/graphloom-scratch"
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/graphloom/{spark.sparkContext.applicationId}"
 
 
