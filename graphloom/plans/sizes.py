@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for a broadcast if a count that stops beyond ``limit`` finds it small; else ``df``, to be shuffled."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def broadcast_if_small(df: DataFrame, measured: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast if a count that stops beyond ``limit`` finds it small; else ``df``, to be shuffled.
+
+    ``measured``: the rows to count instead, where ``df`` has gathered them into lists.
+    """
+    rows = df if measured is None else measured
+    return F.broadcast(df) if rows.limit(limit + 1).count() <= limit else df
