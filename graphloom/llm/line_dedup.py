@@ -18,10 +18,19 @@ from graphloom.plans.sizes import broadcast_if_small
 MIN_DOCS, DEPTH, SIMILARITY = 10, 3, 0.8
 
 
-def masked(line: Column) -> Column:
-    """The line with single blanks, and with <*> for words that hold a digit; empty without words."""
-    plain = F.trim(F.regexp_replace(line, BLANKS, " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+def masked(line: Column, odd: Column) -> Column:
+    """The line with single blanks, and with <*> for words that hold a digit; empty without words. Only lines of texts
+    with ``odd`` blanks need their blanks replaced."""
+    plain = F.trim(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
+    return let(plain, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(x))
+
+
+def _odd(text: Column) -> Column:
+    """Whether a text holds blanks other than single spaces and line feeds."""
+    found = text.contains("  ")
+    for blank in "\t\x0b\x0c\r":
+        found = found | text.contains(blank)
+    return found
 
 
 def _n_words(line: Column) -> Column:
@@ -30,8 +39,9 @@ def _n_words(line: Column) -> Column:
 
 def _lines(df: DataFrame, depth: int) -> DataFrame:
     """(id, row, pos, line, leaf, key) for each line with a word; row tells repeated ids apart by their texts."""
-    rows = df.select("id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rows = rows.select("id", "row", "pos", masked(F.col("raw")).alias("line")).where(F.col("line") != "")
+    # Masked before they are exploded: the result of a generator is computed once, whatever uses it.
+    lines = let(_odd(F.col("text")), lambda odd: F.transform(F.split("text", "\n"), lambda x: masked(x, odd)))
+    rows = df.select("id", F.xxhash64("text").alias("row"), F.posexplode(lines).alias("pos", "line")).where(F.col("line") != "")
     return rows.withColumns({"leaf": F.xxhash64(_n_words(F.col("line")), F.substring_index("line", " ", depth)), "key": F.xxhash64("line")})
 
 
@@ -47,9 +57,12 @@ def recurring_lines(df: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH,
     dropped = keyed.join(whole, "key").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "row", "pos")
     # What is left, in leaves of many documents, is looked at word by word.
     rest = keyed.join(whole, "key", "left_anti")
-    leaves = _recurring(rest, "leaf", min_docs).select("leaf")
-    leaves = broadcast_if_small(written(leaves, "line-leaves"))
-    lines = written(_lines(df, depth).join(leaves, "leaf", "left_semi").join(whole, "key", "left_anti"), "leaf-lines")
+    leaves = written(_recurring(rest, "leaf", min_docs).select("leaf"), "line-leaves")
+    chosen = written(rest.join(leaves, "leaf", "left_semi").select("id", "row", "pos", "leaf"), "leaf-places")
+    by_text = broadcast_if_small(chosen.groupBy("id", "row").agg(F.collect_set(F.struct("pos", "leaf")).alias("places")).select(F.col("id").alias("c_id"), F.col("row").alias("c_row"), "places"), chosen)
+    texts = df.withColumn("row", F.xxhash64("text")).join(by_text, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")))
+    found = let(_odd(F.col("text")), lambda odd: let(F.split("text", "\n"), lambda x: F.transform("places", lambda p: F.struct(p["pos"].alias("pos"), p["leaf"].alias("leaf"), masked(F.get(x, p["pos"]), odd).alias("line")))))
+    lines = texts.select("id", "row", F.inline(found))
     parts = lines.select("id", "row", "pos", "leaf", F.posexplode(F.split("line", " ")).alias("place", "word"))
     fixed = parts.where((F.col("place") >= depth) & (F.col("word") != "<*>") & F.col("id").isNotNull()).groupBy("leaf", "place", "word", "id").agg(F.lit(1).alias("n"))
     fixed = fixed.groupBy("leaf", "place", "word").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("leaf", "place", "word", F.lit(True).alias("fixed"))
