@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,3 +42,64 @@ def bounds(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all bits."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_PLACES = 64
+_AT_PLACE = mixed(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+class HashedWords(NamedTuple):
+    raw: bytes  # the texts, each with a line feed after it
+    start: np.ndarray  # of each word in raw
+    end: np.ndarray
+    hashes: np.ndarray  # 64-bit, of the word's bytes
+    cut: np.ndarray  # number of words before each text, and of all
+
+
+def _sign_after_letter(flat: np.ndarray) -> np.ndarray:
+    """Places of ASCII signs that follow a letter of a-z, A-Z or U+00C0 to U+024F."""
+    sign = (flat > 32) & (flat < 127) & ~_WORD_BYTE[flat]
+    at = np.flatnonzero(sign[1:] & (_LETTER_BYTE[flat[:-1]] | (flat[:-1] >= 128))) + 1
+    last, lead = flat[at - 1], flat[np.maximum(at - 2, 0)]
+    pair = (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7))) & ~((lead == 0xC9) & (last > 0x8F))
+    return at[(last < 128) | pair]
+
+
+_LETTER_BYTE = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+_WORD_BYTE = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+
+
+def hashed_words(texts: list[str], fold: bool, apart: bool = False) -> HashedWords:
+    """The words of texts between ASCII blanks. fold: A-Z count as a-z in the hashes; apart: signs after a letter begin a word."""
+    parts = [t.encode() for t in texts]
+    at = bounds(np.array([len(r) + 1 for r in parts], dtype=np.int64))
+    raw = b"\n".join([*parts, b""])
+    flat = np.frombuffer(raw, dtype=np.uint8)
+    blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
+    edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    if apart and len(start) and len(more := _sign_after_letter(flat)):
+        start, end = np.sort(np.r_[start, more], kind="stable"), np.sort(np.r_[end, more], kind="stable")
+    if not len(start):
+        return HashedWords(raw, start, end, np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
+    low = flat[~blank].astype(np.int64)
+    if fold:
+        low += 32 * ((low >= 65) & (low <= 90))
+    size = end - start
+    first = bounds(size)[:-1]
+    place = np.arange(len(low)) - np.repeat(first, size)
+    low += np.minimum(place, _PLACES - 1) << 8
+    values = _AT_PLACE[low]
+    if (far := np.flatnonzero(place >= _PLACES - 1)).size:
+        values[far] = mixed((place[far].astype(np.uint64) << np.uint64(8)) + (low[far] & 255).astype(np.uint64) + np.uint64(0xD1342543DE82EF95))
+    with np.errstate(over="ignore"):
+        hashes = mixed(np.add.reduceat(values, first) + size.astype(np.uint64))
+    return HashedWords(raw, start, end, hashes, np.searchsorted(start, at))

@@ -7,11 +7,11 @@ its place by the rank it has among the pieces of its length. Ranks come from the
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -19,15 +19,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from graphloom.llm._arrow import bounds, ragged_take, text_slices
+from graphloom.llm._arrow import bounds, hashed_words, ragged_take, text_slices
 from graphloom.plans.scratch import written
 
-CACHED_CHUNKS = 500_000
+#: Chunks whose ids a worker keeps; beyond it the store starts anew (about 200 bytes each).
+CACHED_CHUNKS = 1_000_000
 #: Numbers of groups that the planner tries.
 GROUPS = (8, 32, 128, 512)
-#: Characters at which str.split() parts but the tokenizer's blanks don't.
-_ODD = re.compile("[\x1c-\x1f]")
-_BLANKS = re.compile("[ \t-\r]+")
 
 
 class Block(NamedTuple):
@@ -168,6 +166,14 @@ def segments(blocks: list[Block]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "copies", "sequence", "offset"), table.T.copy(), strict=True))
 
 
+class _Numbers(dict):
+    """Hash of a chunk -> its number; a new one gets the next number."""
+
+    def __missing__(self, chunk: int) -> int:
+        number = self[chunk] = len(self)
+        return number
+
+
 class _Tokens:
     """Ids of texts, by the chunks between blanks: the tokenizer's words never reach over a blank."""
 
@@ -184,40 +190,49 @@ class _Tokens:
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _add(self, chunks: list[str]) -> None:
-        parts: list[np.ndarray] = []
+        self.number = _Numbers()
+        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _spell(self, chunks: list[str]) -> None:
+        parts = self._encoded(chunks)
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(parts), dtype=np.int32, count=int(sizes.sum()))
+        self.starts = np.r_[self.starts, len(self.ids) + bounds(sizes)[:-1]]
+        self.ids, self.lengths = np.r_[self.ids, flat], np.r_[self.lengths, sizes]
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        parts: list[list[int]] = []
         for at in range(0, len(chunks), 500):
             some = chunks[at : at + 500]
             joined = self.mark.join(some) if self.mark else None
             if joined is not None and joined.count(self.mark) == len(some) - 1 and not any(s in joined for s in self.special[1:]):
-                ids = np.array(self.own.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int64)
+                ids = np.array(self.own.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
                 cut = np.flatnonzero(ids == self.mark_id)
                 if len(cut) == len(some) - 1:
-                    parts += [p[1:] if k else p for k, p in enumerate(np.split(ids, cut))]
+                    flat, edges = ids.tolist(), [-1, *cut.tolist(), len(ids)]
+                    parts += [flat[a + 1 : b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
                     continue
-            parts += [np.array(e.ids, dtype=np.int64) for e in self.own.encode_batch_fast(some, add_special_tokens=False)]
-        lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        self.starts = np.r_[self.starts, len(self.ids) + bounds(lengths)[:-1]]
-        self.ids, self.lengths = np.concatenate([self.ids, *parts]), np.r_[self.lengths, lengths]
+            parts += [e.ids for e in self.own.encode_batch_fast(some, add_special_tokens=False)]
+        return parts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Chunks are told apart by 64-bit hashes.
+
+        Unless a special string may be there, A-Z count as a-z, and signs after a letter are chunks of their own, as they are to the tokenizer.
+        """
         if len(self.number) > CACHED_CHUNKS:
             self._reset()
-        chunks, counts = [], []
-        for text in texts:
-            found = [c for c in _BLANKS.split(text) if c] if _ODD.search(text) else text.split()
-            chunks += found
-            counts.append(len(found))
-        number = self.number
-        if new := list(dict.fromkeys(c for c in chunks if c not in number)):
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            self._add(new)
-        index = np.fromiter(map(number.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        flat, n = ragged_take(self.ids, self.starts, self.lengths, index)
-        cut = bounds(n)[bounds(np.array(counts, dtype=np.int64))]
+        plain = not any(s[:2] in t for s in self.special for t in texts)
+        found = hashed_words(texts, fold=plain, apart=plain)
+        unique, at, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
+        known = len(self.number)
+        number = np.fromiter(map(self.number.__getitem__, unique.tolist()), dtype=np.int64, count=len(unique))
+        new = number >= known
+        if new.any():
+            raw, places = found.raw, at[new]
+            self._spell([raw[a:b].decode() for a, b in zip(found.start[places].tolist(), found.end[places].tolist(), strict=True)])
+        flat, n = ragged_take(self.ids, self.starts, self.lengths, number[inverse])
+        cut = bounds(n)[found.cut]
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
