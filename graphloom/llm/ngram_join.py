@@ -30,7 +30,9 @@ from graphloom.plans.sizes import broadcast_if_small
 
 WORDS, PERCENT = 5, 75
 #: Shingles in a counting bucket, about; sets and shingles that one task joins in a tree.
-BUCKET_TOKENS, UNIT_SETS, UNIT_TOKENS = 2_000_000, 2_000, 4_000_000
+BUCKET_TOKENS, UNIT_SETS, UNIT_TOKENS = 1_000_000, 2_000, 4_000_000
+#: Characters of texts whose words are hashed at once.
+ARRAY_CHARS = 1_000_000
 #: Shingles of small units that share a task, about.
 BIN_TOKENS = 200_000
 
@@ -45,8 +47,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each text's distinct shingles: A-Z in lower case, words between blanks.
 
-    A text with fewer words has its whole sequence as one shingle, a text without words none.
+    A text with fewer words has its whole sequence as one shingle, a text without words none. About a megabyte of texts,
+    or one longer text, is worked on at a time: its arrays take some fifty times that.
     """
+    out: list[np.ndarray] = []
+    start = held = 0
+    for k, text in enumerate(texts):
+        if k > start and held + len(text) > ARRAY_CHARS:
+            out += _shingle_sets(texts[start:k], words)
+            start, held = k, 0
+        held += len(text)
+    return out + _shingle_sets(texts[start:], words)
+
+
+def _shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     raw = [t.encode() for t in texts]
     at = bounds(np.array([len(r) + 1 for r in raw], dtype=np.int64))
     flat = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
