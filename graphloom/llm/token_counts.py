@@ -22,7 +22,8 @@ from graphloom.llm._arrow import text_slices
 
 #: The split of byte-level BPE; it is fixed by the vocabularies that use it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 400_000
+#: Words whose counts a worker keeps, and those of which it keeps the whole tables; beyond it they start anew.
+CACHED_WORDS, CACHED_TABLES = 1_500_000, 50_000
 CACHED_PAIRS = 2_000_000
 
 
@@ -63,7 +64,8 @@ class PrefixCounter:
         # A token that its own merges don't give as one never comes out of an encoding.
         for token in [t for t in self.ids if len(t) > 1 and not self._whole(t)]:
             del self.ids[token]
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, int] = {}
+        self.tables: dict[str, tuple[int, ...]] = {}
 
     def _whole(self, token: bytes) -> bool:
         k = self.ids[token]
@@ -113,13 +115,24 @@ class PrefixCounter:
         return tuple(count[k] for k in range(1, len(raw) + 1) if k == len(raw) or raw[k] & 0xC0 != 0x80)
 
     def of_word(self, text: str) -> tuple[int, ...]:
+        found = self.tables.get(text)
+        if found is None:
+            if len(self.tables) > CACHED_TABLES:
+                self.tables.clear()
+            found = self.word(text)
+            if len(text) <= 64:
+                self.tables[text] = found
+        return found
+
+    def total(self, text: str) -> int:
+        """The token count of a whole word: the last one of its table."""
         found = self.words.get(text)
         if found is None:
             if len(self.words) > CACHED_WORDS:
                 self.words.clear()
             if len(self.pairs) > CACHED_PAIRS:
                 self.pairs.clear()
-            found = self.word(text)
+            found = 1 if text.encode() in self.ids else self.word(text)[-1]
             if len(text) <= 64:
                 self.words[text] = found
         return found
@@ -136,12 +149,12 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         """The number of tokens of a text."""
         if self.special_split is None or not any(s in text for s in self.specials):
-            found, total = self.words, 0
-            for w in self.split.findall(text):
-                counts = found.get(w)
-                total += counts[-1] if counts is not None else self.of_word(w)[-1]
-            return total
-        return sum(1 if special else self.of_word(w)[-1] for w, special in self.parts(text))
+            words = self.split.findall(text)
+            counts = list(map(self.words.get, words))
+            if None in counts:
+                counts = [self.total(w) if k is None else k for w, k in zip(words, counts, strict=True)]
+            return sum(counts)
+        return sum(1 if special else self.total(w) for w, special in self.parts(text))
 
     def prefixes(self, text: str) -> np.ndarray:
         """The token counts of the prefixes of 0, 1, ..., all characters of a text, each as if encoded alone."""
@@ -176,7 +189,7 @@ class PrefixCounter:
         for w, special in parts:
             starts.append(at)
             tokens.append(total)
-            total += 1 if special else self.of_word(w)[-1]
+            total += 1 if special else self.total(w)
             at += len(w)
         if total <= budget:
             return at
