@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from graphloom.llm._arrow import bounds, text_slices
 from graphloom.plans.scratch import written
-from graphloom.plans.sizes import broadcast_if_small
+from graphloom.plans.sizes import BROADCAST_ROWS, broadcast_if_small
 
 WORDS, PERCENT = 5, 75
 #: Shingles in a counting bucket, about; sets and shingles that one task joins in a tree.
@@ -35,6 +35,8 @@ BUCKET_TOKENS, UNIT_SETS, UNIT_TOKENS = 1_000_000, 2_000, 4_000_000
 ARRAY_CHARS = 1_000_000
 #: Shingles of small units that share a task, about.
 BIN_TOKENS = 200_000
+#: Edges that a task of the components takes.
+ROWS_A_TASK = 250_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -191,16 +193,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     and a join, never as a list. Each round is written, which keeps the plan short.
     """
     def star(pairs: DataFrame) -> DataFrame:
-        return written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+        return written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(tasks), "star")
 
+    def tied(rows: DataFrame, least: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(least) if small else least, "u")
+
+    # The number of edges doesn't grow: it tells how many tasks are worth it, and whether minima may be broadcast.
+    edges = written(edges.where("u <> v").distinct(), "edges")
+    n = edges.count()
+    tasks, small = max(1, -(-n // ROWS_A_TASK)), n <= BROADCAST_ROWS
     now, before = star(edges), None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = star(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = star(small)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        large = star(tied(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        near = tied(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = star(near)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
