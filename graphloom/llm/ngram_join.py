@@ -33,8 +33,8 @@ WORDS, PERCENT = 5, 75
 BUCKET_TOKENS, UNIT_SETS, UNIT_TOKENS = 1_000_000, 2_000, 4_000_000
 #: Characters of texts whose words are hashed at once.
 ARRAY_CHARS = 1_000_000
-#: Shingles of small units that share a task, about.
-BIN_TOKENS = 200_000
+#: Shingles, or sets of mixed blocks, of small units that share a task, about.
+BIN_TOKENS, BIN_SETS = 200_000, 400
 #: Edges that a task of the components takes.
 ROWS_A_TASK = 250_000
 
@@ -225,7 +225,7 @@ class Tree:
     def __init__(self, sets: list[np.ndarray]) -> None:
         """``sets``: shingles as small numbers, each set in the order of the tree and sorted as sequences."""
         self.sets, self.size = sets, np.array([len(s) for s in sets], dtype=np.int64)
-        #: (run, first set, last set + 1, depth before the run, least size, children)
+        #: (run, first set, last set + 1, depth before the run, least size, largest size, children)
         self.roots = self._build(0, len(sets), 0)
 
     def _build(self, low: int, high: int, depth: int) -> list[tuple]:
@@ -234,7 +234,7 @@ class Tree:
         while work:
             a, b, d, out = work.pop()
             while a < b and self.size[a] == d:  # sets that end here are leaves without a run
-                out.append((np.zeros(0, np.int64), a, a + 1, d, int(self.size[a]), []))
+                out.append((np.zeros(0, np.int64), a, a + 1, d, int(self.size[a]), int(self.size[a]), []))
                 a += 1
             while a < b:
                 first, e = self.sets[a][d], a + 1
@@ -245,26 +245,32 @@ class Tree:
                 differ = np.flatnonzero(left[d:n] != right[d:n])
                 stop = d + int(differ[0]) if len(differ) else n
                 children: list[tuple] = []
-                out.append((left[d:stop], a, e, d, int(self.size[a:e].min()), children))
+                out.append((left[d:stop], a, e, d, int(self.size[a:e].min()), int(self.size[a:e].max()), children))
                 if e - a > 1 or self.size[a] > stop:
                     work.append((a, e, stop, children))
                 a = e
         return stack_out
 
-    def components(self, percent: int, n_tokens: int) -> np.ndarray:
-        """The least place of each set's component under the links of the sets."""
-        n = len(self.sets)
-        label, has = np.arange(n), np.zeros(n_tokens, dtype=bool)
-        changes = np.arange(n)
-        largest = self.size.max() if n else 0
-        for x in range(n):
+    def components(self, percent: int, n_tokens: int, known: np.ndarray, walks: np.ndarray) -> np.ndarray:
+        """The least place of each set's component under the links of the sets of which at least one walks.
+
+        known: the least place of each set's component so far.
+        """
+        label, has = known.copy(), np.zeros(n_tokens, dtype=bool)
+        changes = np.cumsum(np.r_[0, label[1:] != label[:-1]])
+        walkers = bounds(walks.astype(np.int64)).tolist()
+        for x in np.flatnonzero(walks).tolist():
             own = self.sets[x]
             has[own] = True
             size, found = len(own), []
             # An overlap is enough if (100 + percent) overlap >= percent (size + other size).
             work = [(node, 0, 0) for node in self.roots]
             while work:
-                (run, a, b, depth, least, children), overlap, gone = work.pop()
+                (run, a, b, depth, least, most, children), overlap, gone = work.pop()
+                if 100 * most < percent * size or percent * least > 100 * size:
+                    continue  # too short or too long
+                if b <= x and walkers[b] - walkers[a] == b - a:
+                    continue  # they have all walked before
                 if changes[b - 1] == changes[a] and label[a] == label[x]:
                     continue
                 if len(run):
@@ -276,7 +282,7 @@ class Tree:
                         found.extend(range(a, b))
                     continue
                 # At best, what remains of the walker is all shared, and the other side has no more than that left.
-                other = min(max(passed + size - gone, least), largest)
+                other = min(max(passed + size - gone, least), most)
                 if (100 + percent) * (overlap + min(size - gone, other - passed)) >= percent * (size + other):
                     work.extend((c, overlap, gone) for c in children)
             has[own] = False
@@ -288,25 +294,30 @@ class Tree:
 
 
 def _join_unit(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """(u, v): each set of the unit and the least set of its component, if it is not itself."""
-    nodes = rows["node"].to_numpy()
+    """(u, v): the least set of each known part in the unit and the least set of its component, if it is not itself."""
+    nodes, part, walks = rows["node"].to_numpy(), rows["part"].to_numpy(), rows["walks"].to_numpy()
     sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["tokens"]]
     tokens, count = np.unique(np.concatenate(sets), return_counts=True)
     place = np.empty(len(tokens), dtype=np.int64)
     place[np.argsort(-count, kind="stable")] = np.arange(len(tokens))
     ordered = [np.sort(place[np.searchsorted(tokens, s)]) for s in sets]
     rank = sorted(range(len(ordered)), key=lambda k: (ordered[k].astype(">i8").tobytes(), nodes[k]))
-    label = Tree([ordered[k] for k in rank]).components(percent, len(tokens))
+    _, first, place_of = np.unique(part[rank], return_index=True, return_inverse=True)
+    known = first[place_of]
+    label = Tree([ordered[k] for k in rank]).components(percent, len(tokens), known, walks[rank])
     members = nodes[rank]
-    least = np.full(len(members), np.iinfo(np.int64).max)
+    own, least = np.full((2, len(members)), np.iinfo(np.int64).max)
+    np.minimum.at(own, known, members)
     np.minimum.at(least, label, members)
-    root = least[label]
-    differ = root != members
-    return pd.DataFrame({"u": members[differ], "v": root[differ]})
+    own, root = own[first], least[label[first]]
+    return pd.DataFrame({"u": own[root != own], "v": root[root != own]})
 
 
 def _joined(units: DataFrame, sets: DataFrame, percent: int, bins: int) -> DataFrame:
-    """The links' stars of units (unit, node) that are bounded in size; small units share a task."""
+    """Links (u, v) that tie the parts in units (unit, node, part, walks) bounded in size; small units share a task.
+
+    part: what is known to be one component; walks: whether a set walks down the tree, as one of each pair must.
+    """
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([_join_unit(x, percent) for _, x in rows.groupby("unit")])
@@ -341,12 +352,13 @@ def _links(sets: DataFrame, percent: int, unit_sets: int, unit_tokens: int) -> D
     least = Window.partitionBy("root", F.pmod("h", F.lit(64))).orderBy("h", "node")
     anchors = large.withColumn("nth", F.row_number().over(least)).where("nth = 1").select("root", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     anchors = anchors.select(name(F.col("part")).alias("unit"), "node")
-    links = _joined(in_part.unionByName(dealt).unionByName(anchors.select("unit", "node")).distinct(), sets, percent, bins)
+    units = in_part.unionByName(dealt).unionByName(anchors.select("unit", "node")).distinct()
+    links = _joined(units.withColumn("part", F.col("node")).withColumn("walks", F.lit(True)), sets, percent, bins)
     large = total.where("parts > 1")
     if large.isEmpty():
         return links
     # What a large group still leaves apart: blocks of one shingle that hold several components so far. Within a block,
-    # all that is not of its largest component meets the whole block, in bounded runs.
+    # all that is not of its largest component meets the whole block, in bounded runs; the largest is one already and doesn't walk.
     so_far = written(components(links), "so-far").select("node", F.col("root").alias("part"))
     rows = prefix.join(group.join(large, "root").select("node"), "node").join(so_far, "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts = rows.groupBy("token", "part").agg(F.count("*").alias("members"))
@@ -357,11 +369,11 @@ def _links(sets: DataFrame, percent: int, unit_sets: int, unit_tokens: int) -> D
     rest, most = rows.where("part <> main").withColumn("run", F.pmod("h", F.col("rest_runs"))), rows.where("part = main").withColumn("run", F.pmod("h", F.col("main_runs")))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     unit = lambda kind, a, b: F.concat_ws("-", F.lit(kind), F.col("token").cast("string"), a.cast("string"), b.cast("string")).alias("unit")
-    with_main = rest.withColumn("other", upto("main_runs")).select(unit("m", F.col("run"), F.col("other")), "node")
-    of_main = most.withColumn("other", upto("rest_runs")).select(unit("m", F.col("other"), F.col("run")), "node")
-    among = rest.where("rest_runs > 1").withColumn("other", upto("rest_runs")).select(unit("r", F.least("run", "other"), F.greatest("run", "other")), "node")
+    with_main = rest.withColumn("other", upto("main_runs")).select(unit("m", F.col("run"), F.col("other")), "node", "part", F.lit(True).alias("walks"))
+    of_main = most.withColumn("other", upto("rest_runs")).select(unit("m", F.col("other"), F.col("run")), "node", "part", F.lit(False).alias("walks"))
+    among = rest.where("rest_runs > 1").withColumn("other", upto("rest_runs")).select(unit("r", F.least("run", "other"), F.greatest("run", "other")), "node", "part", F.lit(True).alias("walks"))
     units = written(with_main.unionByName(of_main).unionByName(among).distinct(), "blocks")
-    return links.unionByName(_joined(units, sets, percent, max(bins, units.count() // unit_sets)))
+    return links.unionByName(_joined(units, sets, percent, max(bins, units.count() // BIN_SETS)))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, unit_sets: int = UNIT_SETS, unit_tokens: int = UNIT_TOKENS) -> DataFrame:
