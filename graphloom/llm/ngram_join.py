@@ -186,34 +186,73 @@ def _entries(sets: DataFrame) -> DataFrame:
     return sets.select("node", "tokens").mapInArrow(run, "token long, node long")
 
 
+def least_of_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes that are not the least of their component of the edges (u, v)."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        a, b = label[a], label[b]
+        apart = a != b
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label[label], label):
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges with each task's components, of a bounded number of its edges at a time, made stars around their least node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = np.zeros((2, 0), np.int64)
+        for batch in batches:
+            u, v = np.r_[u, batch.column(0).to_numpy()], np.r_[v, batch.column(1).to_numpy()]
+            if len(u) >= ROWS_A_TASK:
+                u, v = least_of_components(u, v)
+                if 2 * len(u) >= ROWS_A_TASK:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    u, v = np.zeros((2, 0), np.int64)
+        u, v = least_of_components(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each component of the edges (u, v), by alternating large and small stars.
 
-    In each round every node is tied to the least of its neighbours; a node of many neighbours is met by combined minima
+    Each task first contracts its own edges; when all that remain are disjoint stars, they are the components. Otherwise,
+    in each round every node is tied to the least of its neighbours; a node of many neighbours is met by combined minima
     and a join, never as a list. Each round is written, which keeps the plan short.
     """
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    n = edges.count()
+    tasks, small = max(1, -(-n // ROWS_A_TASK)), n <= BROADCAST_ROWS
+
     def star(pairs: DataFrame) -> DataFrame:
         return written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(tasks), "star")
 
     def tied(rows: DataFrame, least: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(least) if small else least, "u")
 
-    # The number of edges doesn't grow: it tells how many tasks are worth it, and whether minima may be broadcast.
-    edges = written(edges.where("u <> v").distinct(), "edges")
-    n = edges.count()
-    tasks, small = max(1, -(-n // ROWS_A_TASK)), n <= BROADCAST_ROWS
-    now, before = star(edges), None
+    def settled(pairs: DataFrame) -> bool:
+        ends = pairs.groupBy("u").agg(F.count("*").alias("n")).unionByName(pairs.select(F.col("v").alias("u")).distinct().withColumn("n", F.lit(1)))
+        return ends.coalesce(tasks).groupBy("u").agg(F.sum("n").alias("n")).where("n > 1").isEmpty()
+
+    now = written(_contracted(edges.coalesce(tasks)).coalesce(tasks), "star")
     for _ in range(max_rounds):
+        if settled(now):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
         large = star(tied(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         near = tied(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = star(near)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
