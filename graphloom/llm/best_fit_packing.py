@@ -24,6 +24,8 @@ from graphloom.plans.scratch import written
 
 #: Chunks whose ids a worker keeps; beyond it the store starts anew (about 200 bytes each).
 CACHED_CHUNKS = 1_000_000
+#: Bytes of texts, or one longer text, whose chunks are hashed at once: the arrays take some fifty times that.
+SLICE_BYTES = 1 << 20
 #: Numbers of groups that the planner tries.
 GROUPS = (8, 32, 128, 512)
 
@@ -250,7 +252,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, seen = tokens(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, SLICE_BYTES):
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for i, found in zip(ids, own.encode(texts), strict=True):
                 packed = np.r_[found, end_id].astype("<u4")
