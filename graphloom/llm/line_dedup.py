@@ -3,7 +3,9 @@
 A line goes down a tree of fixed depth: by its number of words, then by its leading words, words with a digit being
 variable. Where a leaf holds lines of many documents, each further place of a line keeps its word if enough documents of
 the leaf have it there; else it becomes variable, too. Lines whose masked text, or whose template in a leaf, recurs in
-enough documents are dropped from all but the document with the least id, so that no content is lost altogether.
+enough documents are dropped from all but the document with the least id, so that no content is lost altogether. Lines
+with too small a share of words without a digit, as rows of numbers, say nothing by their masked text: they recur only
+as they are.
 """
 
 from __future__ import annotations
@@ -18,11 +20,29 @@ from graphloom.plans.sizes import broadcast_if_small
 MIN_DOCS, DEPTH, SIMILARITY = 10, 3, 0.8
 
 
+def _plain(line: Column, odd: Column) -> Column:
+    """The line with single blanks; empty without words. Only lines of texts with ``odd`` blanks need their blanks replaced."""
+    return F.trim(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
+
+
+def _masked(plain: Column) -> Column:
+    return F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")
+
+
 def masked(line: Column, odd: Column) -> Column:
-    """The line with single blanks, and with <*> for words that hold a digit; empty without words. Only lines of texts
-    with ``odd`` blanks need their blanks replaced."""
-    plain = F.trim(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
-    return let(plain, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(x))
+    """The line with single blanks, and with <*> for words that hold a digit."""
+    return let(_plain(line, odd), lambda x: F.when(x.rlike("[0-9]"), _masked(x)).otherwise(x))
+
+
+def _told(line: Column, odd: Column, similarity: float) -> Column:
+    """(line, own): the masked line, and the line as it is if its share of words without a digit is less than ``similarity``."""
+    def of_masked(plain: Column, line: Column) -> Column:
+        words = F.split(line, " ")
+        n_fixed = F.size(F.filter(words, lambda w: w != "<*>"))
+        return F.struct(line.alias("line"), F.when(n_fixed / F.size(words) < similarity, plain).alias("own"))
+
+    none = F.lit(None).cast("string")
+    return let(_plain(line, odd), lambda x: F.when(x.rlike("[0-9]"), let(_masked(x), lambda m: of_masked(x, m))).otherwise(F.struct(x.alias("line"), none.alias("own"))))
 
 
 def _odd(text: Column) -> Column:
@@ -37,12 +57,13 @@ def _n_words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _lines(df: DataFrame, depth: int) -> DataFrame:
+def _lines(df: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(id, row, pos, line, leaf, key) for each line with a word; row tells repeated ids apart by their texts."""
     # Masked before they are exploded: the result of a generator is computed once, whatever uses it.
-    lines = let(_odd(F.col("text")), lambda odd: F.transform(F.split("text", "\n"), lambda x: masked(x, odd)))
-    rows = df.select("id", F.xxhash64("text").alias("row"), F.posexplode(lines).alias("pos", "line")).where(F.col("line") != "")
-    return rows.withColumns({"leaf": F.xxhash64(_n_words(F.col("line")), F.substring_index("line", " ", depth)), "key": F.xxhash64("line")})
+    lines = let(_odd(F.col("text")), lambda odd: F.transform(F.split("text", "\n"), lambda x: _told(x, odd, similarity)))
+    rows = df.select("id", F.xxhash64("text").alias("row"), F.posexplode(lines).alias("pos", "told")).select("id", "row", "pos", "told.*").where(F.col("line") != "")
+    keys = {"leaf": F.xxhash64(_n_words(F.col("line")), F.substring_index("line", " ", depth)), "key": F.xxhash64(F.coalesce("own", "line"))}
+    return rows.withColumns(keys).drop("own")
 
 
 def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
@@ -52,7 +73,7 @@ def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
 
 def recurring_lines(df: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id, row, pos) of the lines to drop, for a table (id, text) without null texts."""
-    keyed = written(_lines(df, depth).drop("line"), "line-keys")
+    keyed = written(_lines(df, depth, similarity).drop("line"), "line-keys")
     whole = written(_recurring(keyed, "key", min_docs), "line-templates")
     dropped = keyed.join(whole, "key").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "row", "pos")
     # What is left, in leaves of many documents, is looked at word by word.

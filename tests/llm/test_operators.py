@@ -151,6 +151,17 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.line_dedup(odd).count() == odd.count() and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_keeps_lines_of_other_numbers(spark):
+    """Lines of numbers alone recur if they are equal, and not by their number of words; fixed words tell a template."""
+    rows = [(i, f"{i} {7 * i} {i * i}\n2024-01-{i + 10}, {i}\n3 1999  88\nserved to host{i} by the old machine") for i in range(12)] + [(12 + i, f"{i + 500} {i} 9") for i in range(12)]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["text"] == rows[0][1]
+    assert all(got[i]["text"] == "\n".join(rows[i][1].split("\n")[:2]) and got[i]["n_dropped"] == 2 for i in range(1, 12))
+    assert all(got[i]["text"] == rows[i][1] for i in range(12, 24))
+    left = line_dedup.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert left.count() == 24
+
+
 def test_media(odd, empty):
     rows = media_columns.read_media(media_columns.to_png(odd)).collect()
     assert len(rows) == odd.count()
