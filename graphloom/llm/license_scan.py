@@ -49,7 +49,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of places of equal words, increasing in both lists.
 
     Common ends are matched first, then anchors: words that are unique on both sides, of which the longest increasing run
-    is kept. The gaps are aligned likewise; a gap without anchors gets a longest common subsequence if it is small.
+    is kept. The gaps are aligned likewise; a gap without anchors gets a longest common subsequence.
     """
     out: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
@@ -70,7 +70,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
             out += anchors
             work += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges[:-1], edges[1:], strict=True)]
-        elif (a1 - a0) * (b1 - b0) <= 4096:
+        else:
             out += _common(a, b, a0, a1, b0, b1)
     return sorted(out)
 
@@ -92,17 +92,25 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _common(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """A longest common subsequence. Of each place of ``a`` on, a row of bits is held: 0 where one more word of ``b`` at
+    the front makes the subsequence longer; the last word of ``b`` is the lowest bit."""
     n, m = a1 - a0, b1 - b0
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    places: dict = {}
+    for j in range(m):
+        places[b[b0 + j]] = places.get(b[b0 + j], 0) | 1 << (m - 1 - j)
+    full = (1 << m) - 1
+    rows = [full] * (n + 1)
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[a0 + i] == b[b0 + j] else max(best[i + 1][j], best[i][j + 1])
+        row = rows[i + 1]
+        same = row & places.get(a[a0 + i], 0)
+        rows[i] = ((row + same) | (row - same)) & full
+    best = lambda i, j: m - j - (rows[i] & ((1 << (m - j)) - 1)).bit_count()
     out, i, j = [], 0, 0
     while i < n and j < m:
         if a[a0 + i] == b[b0 + j]:
             out.append((a0 + i, b0 + j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif best(i + 1, j) >= best(i, j + 1):
             i += 1
         else:
             j += 1
@@ -122,7 +130,7 @@ class Scanner:
             own = np.zeros(len(vocabulary) + 1, dtype=bool)
             own[ids] = True
             least = len(ws) if len(ws) < NOTICE_WORDS else -(-int(round(coverage * len(ws) * 1000)) // 1000)
-            self.templates.append((name, ids, own, len(set(ids)), least, len(ws) + (0 if len(ws) < NOTICE_WORDS else len(ws) // 2)))
+            self.templates.append((name, ids, own, least, len(ws) + (0 if len(ws) < NOTICE_WORDS else len(ws) // 2)))
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first character, end) of the hits, by place; of overlapping hits the one with the most words stays."""
@@ -135,7 +143,7 @@ class Scanner:
         if not (ids < none).any():
             return []
         found = []
-        for name, template, own, distinct, least, width in self.templates:
+        for name, template, own, least, width in self.templates:
             at = np.flatnonzero(own[ids])
             if len(at) < least:
                 continue
@@ -146,13 +154,10 @@ class Scanner:
             while k < len(starts):
                 start = int(at[starts[k]])
                 # Windows that begin close by show the same hit: the best start is where the alignment is longest.
-                end = min(start + 2 * width, len(ids))
-                window = ids[start:end].tolist()
-                pairs = self._densest(patience(window, template), width)
-                if len(pairs) >= least and len({window[i] for i, _ in pairs}) * 10 >= distinct * 7:
-                    a, b = start + pairs[0][0], start + pairs[-1][0]
-                    found.append((len(pairs), name, round(len(pairs) / len(template), 6), a, b + 1))
-                    skip = b + 1
+                hit = self._first(ids, start, template, least, width)
+                if hit:
+                    n, a, skip = hit
+                    found.append((n, name, round(n / len(template), 6), a, skip))
                 else:
                     skip = start + 1
                 k = int(np.searchsorted(at[starts], skip))
@@ -164,6 +169,36 @@ class Scanner:
                 out.append((name, share, spans[a][0], spans[b - 1][1]))
         return sorted(out, key=lambda x: x[2:])
 
+    def _first(self, ids: np.ndarray, start: int, template: list[int], least: int, width: int) -> tuple[int, int, int] | None:
+        """(number of pairs, first word, end) of the first hit from a place on, if there is one.
+
+        Where copies follow closely, a wide window may mix them or show a later one. Narrower windows hold fewer; a hit that
+        leaves room for one before it, or takes words of the next so that one is lost, gives way to the one in front.
+        """
+        in_window = lambda a, b: self._aligned(ids, a, b, template, least, width)
+        hit = next(filter(None, (in_window(start, start + size) for size in (2 * width, width, len(template) + len(template) // 8, len(template)))), None)
+        while hit and hit[1] - start >= least and (earlier := in_window(start, hit[1])):
+            hit = earlier
+        n = len(template)
+        for at, size in ((start, n), (start, n + n // 8), (hit[1], n), (hit[1], n + n // 8)) if hit else ():
+            near = in_window(at, at + size)
+            if near and near[2] < hit[2] and (after := in_window(near[2], near[2] + width) or in_window(near[2], near[2] + n + n // 8) or in_window(near[2], near[2] + n)) and after[1] < hit[2] and not in_window(hit[2], after[2]):
+                return near
+        return hit
+
+    def _aligned(self, ids: np.ndarray, start: int, end: int, template: list[int], least: int, width: int) -> tuple[int, int, int] | None:
+        """(number of pairs, first word, end) of the hit in a window, if it has one."""
+        counts = np.bincount(template, minlength=len(self.number) + 1)
+        common = np.minimum(np.bincount(ids[start:end], minlength=len(counts)), counts)
+        distinct = np.count_nonzero(counts)
+        if common.sum() < least or np.count_nonzero(common) * 10 < distinct * 7:
+            return None
+        window = ids[start:end].tolist()
+        pairs = self._densest(patience(window, template), width)
+        if len(pairs) < least or len({window[i] for i, _ in pairs}) * 10 < distinct * 7:
+            return None
+        return len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1
+
     @staticmethod
     def _densest(pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
         """The most pairs within one width of the text."""

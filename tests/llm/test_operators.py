@@ -116,6 +116,35 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.license_scan(odd).count() == odd.count() and license_scan.license_scan(empty).count() == 0
 
 
+def _longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        for j, (y, diagonal) in enumerate(zip(b, row[:-1])):
+            row[j + 1] = max(row[j] if y != x else 0, row[j + 1], diagonal + (x == y))
+    return row[-1]
+
+
+def test_gaps_without_anchors_are_aligned_whatever_their_size():
+    rng = np.random.default_rng(2)
+    for n, m in ((5, 7), (130, 90), (300, 90)):
+        a, b = (rng.integers(0, 6, k).tolist() for k in (n, m))
+        pairs = license_scan.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and len(set(pairs)) == len(pairs)
+        assert len(license_scan._common(a, b, 0, n, 0, m)) == _longest_common(a, b)
+        assert len(license_scan.patience([7, *a, 8], [9, *b, 10])) == _longest_common(a, b)
+
+
+@pytest.mark.parametrize("changed", [(0,), (0, 9), (43,), (85,), (5, 80)])
+def test_close_copies_of_a_license_are_all_hits(changed):
+    words = license_scan.TEMPLATES["MIT"].split()
+    for k in changed:
+        words[k] = "changed"
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    for n in (1, 2, 3, 5, 8):
+        hits = scanner.scan(" and then comes ".join([" ".join(words)] * n))
+        assert [h[0] for h in hits] == ["MIT"] * n
+
+
 def test_patience_is_a_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):
