@@ -449,7 +449,27 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents that stay, with all their columns: of each component the one with the least id, and all without shingles."""
-    gone = ngram_components(docs, id_col, text_col, **params).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    gone = broadcast_if_small(written(gone, "gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The documents that stay, with all their columns: all without shingles, and exactly one row of each component.
+
+    It is the row with the least id, nulls last; of several such rows the one with the least 64-bit hash of its columns
+    (maps aside), and of equal ones any. So rows of one id in several components are judged apart.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    marked = docs.withColumn("__row", F.xxhash64(*hashed))
+    # Joined by the rows' hashes: they are never null and, unlike ids, of one text each.
+    found = ngram_components(marked.select("__row", F.col(text_col).alias("__text")), "__row", "__text", **params)
+    found = written(found.where("n_shingles > 0").select("__row", F.col("component_id").alias("__part")), "rows")
+    many = found.groupBy("__part").agg(F.count("*").alias("n")).where("n > 1").select("__part")
+    copies = found.join(many, "__part").groupBy("__part", "__row").agg(F.count("*").alias("times"))
+    ids = marked.select("__row", F.col(id_col).alias("__id")).distinct()
+    copies = written(copies.join(ids, "__row"), "copies-of-parts")
+    first = copies.groupBy("__part").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"].alias("first"))
+    told = copies.join(first, "__part")
+    gone = broadcast_if_small(written(told.where("__row <> first").select("__row"), "gone"))
+    again = written(told.where("__row = first and times > 1").select("__row"), "again")
+    left = marked.join(gone, "__row", "left_anti").select(marked.columns)
+    if again.isEmpty():
+        return left.drop("__row")
+    again = broadcast_if_small(again)
+    once = left.join(again, "__row", "left_semi").select(marked.columns).dropDuplicates(["__row"])
+    return left.join(again, "__row", "left_anti").select(marked.columns).unionByName(once).drop("__row")

@@ -106,6 +106,19 @@ def test_ngram_join_odd_rows(odd, empty):
     assert ngram_join.one_of_each(odd).columns == odd.columns
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, null ids and ids with several texts: one row of each component, the least id's, nulls last."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "x"), (None, a, "x"), (None, b, "x"), (None, b, "x"), (None, f"{b} tail", "x"), (5, c, "y"), (5, c, "z"), (5, d, "x"), (3, d, "x"), (None, c, "x"), (7, "", "x"), (7, "", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = [tuple(r) for r in ngram_join.one_of_each(docs).collect()]
+    first = lambda text: text[:2] if text else text
+    assert sorted(((i, first(t)) for i, t, _ in got), key=str) == sorted([(1, "a0"), (None, "b0"), (5, "c0"), (3, "d0"), (7, ""), (7, ""), (None, None)], key=str)
+    assert set(got) <= set(rows) and ngram_join.one_of_each(docs).columns == docs.columns
+    assert sorted(got, key=str) == sorted(map(tuple, ngram_join.one_of_each(docs.repartition(5)).collect()), key=str)
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_license_scan(spark, odd, empty):
     mit = license_scan.TEMPLATES["MIT"]
     rows = [(1, "x\nLicensed under CC BY-NC 4.0.\ny"), (2, "prefix words " + mit.replace("charge", "cost") + " suffix"), (3, "the software is free to use"), (4, None), (5, "MIT License text " * 3)]
