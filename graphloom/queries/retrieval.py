@@ -30,7 +30,9 @@ def bigrams(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def _questions(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("question_id"), F.concat(F.lit("apa itu "), F.lower("p_type")).alias("question")).distinct().groupBy("question_id").agg(F.min("question").alias("question"))
+    """(question_id, question): one for each brand and type."""
+    asked = F.concat(F.lit("apa itu "), F.lower("p_type"))
+    return table(spark, sf_dir, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("question_id"), asked.alias("question")).distinct()
 
 
 @query()

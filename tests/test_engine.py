@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 from graphloom.functions import text as T
-from graphloom.operators import chunking
+from graphloom.operators import chunking, retrieval
 from graphloom.operators.graph import GraphStore
 from graphloom.plans.pattern import is_valid, run_query
+from graphloom.queries.retrieval import _questions
 from graphloom.registry import core_oracles, core_queries
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,26 @@ def test_text_functions(spark):
     r = rows.select(*(c.alias(k) for k, c in T.file_metadata("name").items()), T.clean_ocr_number("raw").alias("digits"), T.citations("said").alias("cited")).first()
     assert (r["document_id"], r["number"], r["year"], r["digits"]) == ("PP_71_2019", "71/2019", 2019, "2012")
     assert r["cited"] == ["Pasal 5 ayat (2)", "UU No. 11 Tahun 2008"]
+
+
+def test_every_question_is_asked(spark, duck):
+    want = duck.execute("select distinct concat(p_brand, '|', p_type), concat('apa itu ', lower(p_type)) from part").fetchall()
+    assert sorted(map(tuple, _questions(spark, SF).collect())) == sorted(want)
+
+
+def test_search_finds_what_brute_force_does(spark):
+    parts = ["small brass plate", "large brass pin", "steel plate", "small steel pin", "brass", "copper small brass", "brass ring", "old brass"]
+    nodes = [(f"n{k}", "Part", x, None, "1", ["Part"]) for k, x in enumerate(parts)]
+    store = GraphStore(spark.createDataFrame(nodes, "id string, type string, label string, content string, doc string, labels array<string>"), None)
+    asked = spark.createDataFrame([("a", "apa itu small brass"), ("b", "apa itu steel"), ("c", "apa itu large copper")], "question_id string, question string")
+    terms, found = retrieval.search_terms(asked).collect(), {}
+    for strategy in (1, 2, 3):
+        for r in sorted((r for r in terms if r["strategy"] == strategy and len(r["term"]) > 2), key=lambda r: r["rank"]):
+            hits = sorted(i for i, _, x, *_ in nodes if r["term"].lower() in x)[: 5 if strategy == 1 else 3]
+            found.setdefault((r["question_id"], strategy), []).extend(hits)
+    want = set()
+    for q in "abc":
+        sure = list(dict.fromkeys(found.get((q, 1), []) + found.get((q, 2), [])))
+        every = list(dict.fromkeys(sure + (found.get((q, 3), []) if len(sure) < 3 else [])))
+        want |= {(q, i, n) for n, i in enumerate(every[:10], 1)}
+    assert want and {(r["question_id"], r["id"], r["nth"]) for r in retrieval.multi_search(asked, store).collect()} == want
