@@ -10,6 +10,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +18,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm._arrow import text_slices
 
-#: License wordings, shortened to what tells them apart; fixed values.
-TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+#: Short notices and file headers by name; fixed values. Whole license texts stand in the folder ``licenses``.
+NOTICES = {
     "MIT-notice": "Released under the MIT License.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
@@ -36,9 +34,18 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "All-rights-reserved": "All rights reserved.",
 }
+
+
+def _whole_texts() -> dict[str, str]:
+    folder = resources.files("graphloom.llm") / "licenses"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+TEMPLATES = NOTICES | _whole_texts()
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: Least coverage of a hit; hits of full texts may have gaps, short notices none.
-COVERAGE, NOTICE_WORDS = 0.8, 16
+#: Least coverage of a hit, and the share of the template's distinct words that it must have. A hit spans at most STRETCH
+#: template lengths of the text; short notices, of less than NOTICE_WORDS, are hits only whole and without gaps.
+COVERAGE, DISTINCT, STRETCH, NOTICE_WORDS = 0.8, 0.7, 1.5, 16
 
 
 def template_words(text: str) -> list[str]:
@@ -118,19 +125,19 @@ def _common(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float) -> None:
-        self.coverage = coverage
-        self.words = {name: template_words(t) for name, t in templates.items()}
-        self.words = {name: w for name, w in self.words.items() if w}
-        vocabulary = sorted({w for ws in self.words.values() for w in ws})
-        self.number = {w: k for k, w in enumerate(vocabulary)}
+    def __init__(self, templates: dict[str, str], coverage: float, stretch: float = STRETCH) -> None:
+        words = {name: w for name, t in sorted(templates.items()) if (w := template_words(t))}
+        self.number = {w: k for k, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
         self.templates = []
-        for name, ws in sorted(self.words.items()):
-            ids = [self.number[w] for w in ws]
-            own = np.zeros(len(vocabulary) + 1, dtype=bool)
-            own[ids] = True
-            least = len(ws) if len(ws) < NOTICE_WORDS else -(-int(round(coverage * len(ws) * 1000)) // 1000)
-            self.templates.append((name, ids, own, least, len(ws) + (0 if len(ws) < NOTICE_WORDS else len(ws) // 2)))
+        for name, ws in words.items():
+            whole = len(ws) < NOTICE_WORDS
+            least, width = (len(ws), len(ws)) if whole else (-(-int(round(coverage * len(ws) * 1000)) // 1000), int(stretch * len(ws)))
+            self.templates.append((name, [self.number[w] for w in ws], least, width))
+        #: How often each template has each word; the last word stands for all that none has.
+        self.counts = np.zeros((len(self.templates), len(self.number) + 1), dtype=np.int64)
+        for k, (_, template, _, _) in enumerate(self.templates):
+            self.counts[k] = np.bincount(template, minlength=len(self.number) + 1)
+        self.least = np.array([least for _, _, least, _ in self.templates], dtype=np.int64)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first character, end) of the hits, by place; of overlapping hits the one with the most words stays."""
@@ -138,37 +145,55 @@ class Scanner:
         low = text.lower()
         if len(low) != len(text):  # a letter whose lower case is longer: characters must keep their places
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        spans = [m.span() for m in _WORD.finditer(low)]
-        ids = np.fromiter((number.get(low[a:b], none) for a, b in spans), dtype=np.int64, count=len(spans))
-        if not (ids < none).any():
-            return []
+        ids = np.array([number.get(w, none) for w in _WORD.findall(low)], dtype=np.int64)
+        seen, often = np.unique(ids, return_counts=True)
+        # What the whole text shares with a template bounds every alignment.
+        held = np.minimum(self.counts[:, seen], often).sum(axis=1)
         found = []
-        for name, template, own, least, width in self.templates:
-            at = np.flatnonzero(own[ids])
-            if len(at) < least:
-                continue
-            # Windows of the template's width, and half as much for long ones, that hold enough of its words.
-            held = np.searchsorted(at, at + width) - np.arange(len(at))
-            k = 0
-            starts = np.flatnonzero(held >= least)
-            while k < len(starts):
-                start = int(at[starts[k]])
-                # Windows that begin close by show the same hit: the best start is where the alignment is longest.
+        for k in np.flatnonzero(held >= self.least).tolist():
+            name, template, least, width = self.templates[k]
+            starts, at = self._starts(ids, self.counts[k], least, width), 0
+            while at < len(starts):
+                start = int(starts[at])
                 hit = self._first(ids, start, template, least, width)
                 if hit:
                     n, a, skip = hit
                     found.append((n, name, round(n / len(template), 6), a, skip))
-                else:
-                    skip = start + 1
-                k = int(np.searchsorted(at[starts], skip))
+                else:  # each window holds what begins within a sixteenth of a template, so the next may begin there
+                    skip = start + max(1, len(template) // 16)
+                at = int(np.searchsorted(starts, skip))
         out: list[tuple[str, float, int, int]] = []
-        taken: list[tuple[int, int]] = []
+        firsts: list[int] = []
+        ends: list[int] = []
+        spans = [m.span() for m in _WORD.finditer(low)] if found else []
         for _, name, share, a, b in sorted(found, key=lambda x: (-x[0], x[3], x[1])):
-            if all(b <= c or a >= d for c, d in taken):
-                taken.append((a, b))
+            k = bisect_left(firsts, b)  # the hits taken don't overlap, so only the last that begins before the end can reach in
+            if k == 0 or ends[k - 1] <= a:
+                firsts.insert(k, a)
+                ends.insert(k, b)
                 out.append((name, share, spans[a][0], spans[b - 1][1]))
         return sorted(out, key=lambda x: x[2:])
 
+    @staticmethod
+    def _starts(ids: np.ndarray, counts: np.ndarray, least: int, width: int) -> np.ndarray:
+        """The template's words in the text from which on a window shares as many words, and as many distinct ones, as a hit has.
+
+        A word counts in all windows that begin after the occurrence of it that is as many before as the template has of it.
+        """
+        at = np.flatnonzero(counts[ids])
+        order = np.argsort(ids[at], kind="stable")
+        place, word = at[order], ids[at][order]
+
+        def in_window(copies: np.ndarray | int) -> np.ndarray:
+            before = np.arange(len(place)) - copies
+            earlier = np.where((before >= 0) & (word[np.maximum(before, 0)] == word), place[np.maximum(before, 0)], -1)
+            first = np.maximum(np.maximum(earlier, place - width) + 1, 0)
+            change = np.bincount(first, minlength=len(ids) + 1) - np.bincount(place + 1, minlength=len(ids) + 1)
+            return np.cumsum(change)[at]
+
+        enough = (in_window(counts[word]) >= least) & (in_window(1) >= DISTINCT * np.count_nonzero(counts))
+        return at[enough]
+
     def _first(self, ids: np.ndarray, start: int, template: list[int], least: int, width: int) -> tuple[int, int, int] | None:
         """(number of pairs, first word, end) of the first hit from a place on, if there is one.
 
@@ -190,12 +215,12 @@ class Scanner:
         """(number of pairs, first word, end) of the hit in a window, if it has one."""
         counts = np.bincount(template, minlength=len(self.number) + 1)
         common = np.minimum(np.bincount(ids[start:end], minlength=len(counts)), counts)
-        distinct = np.count_nonzero(counts)
-        if common.sum() < least or np.count_nonzero(common) * 10 < distinct * 7:
+        distinct = DISTINCT * np.count_nonzero(counts)
+        if common.sum() < least or np.count_nonzero(common) < distinct:
             return None
         window = ids[start:end].tolist()
         pairs = self._densest(patience(window, template), width)
-        if len(pairs) < least or len({window[i] for i, _ in pairs}) * 10 < distinct * 7:
+        if len(pairs) < least or len({window[i] for i, _ in pairs}) < distinct:
             return None
         return len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1
 
@@ -210,16 +235,19 @@ class Scanner:
         return pairs[-best[1] : -best[1] + best[0]]
 
 
-def license_scan(df: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(df: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, stretch: float = STRETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_hits, licenses, best_license, best_coverage, start_char, end_char) for every row.
 
-    ``licenses`` joins the names of all hits, sorted, once each; the best hit has the greatest coverage, then the longest
-    span, then the first place. Null and empty texts, and those without hits, have 0 hits and nulls. Each row gives a row.
+    A hit is a span of at most ``stretch`` template lengths whose alignment holds ``coverage`` of the template's words and
+    0.7 of its distinct ones; a license with longer insertions is a hit only at a greater ``stretch``. Gaps are aligned
+    exactly at any size. ``licenses`` joins the names of all hits, sorted, once each; the best hit has the greatest coverage,
+    then the longest span, then the first place. Null and empty texts, and those without hits, have 0 hits and nulls. Each
+    row gives a row, also a repeated one or one without id; an empty table gives none.
     """
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, stretch)
         for ids, texts in text_slices(batches):
             rows = []
             for i, text in zip(ids, texts, strict=True):
