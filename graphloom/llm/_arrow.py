@@ -9,23 +9,29 @@ import numpy as np
 import pyarrow as pa
 
 
+def row_slices(column: pa.Array, max_bytes: int, max_rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """(start, number) of the rows of a text or binary column in slices of about ``max_bytes``; a single longer value makes a slice alone."""
+    lengths = np.diff(_offsets(column)) if len(column) else np.zeros(0, np.int64)
+    start, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and (held + n > max_bytes or i - start >= max_rows):
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if start < len(lengths):
+        yield start, len(lengths) - start
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) in slices of about ``max_bytes``; null texts are empty. A single longer text makes a slice alone."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        lengths = np.diff(_offsets(texts)) if len(texts) else np.zeros(0, np.int64)
-        start, held = 0, 0
-        for i, n in enumerate(lengths):
-            if i > start and (held + n > max_bytes or i - start >= max_rows):
-                yield ids[start:i], [t or "" for t in texts.slice(start, i - start).to_pylist()]
-                start, held = i, 0
-            held += int(n)
-        if start < len(ids):
-            yield ids[start:], [t or "" for t in texts.slice(start).to_pylist()]
+        for start, n in row_slices(texts, max_bytes, max_rows):
+            yield ids[start : start + n], [t or "" for t in texts.slice(start, n).to_pylist()]
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     return np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
@@ -44,6 +50,35 @@ def bounds(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+class RaggedStore:
+    """Lists of numbers under 0, 1, ..., in arrays that double when full; ``nbytes`` is what they hold."""
+
+    def __init__(self, dtype: type) -> None:
+        self.flat, self.edges, self.n = np.zeros(1024, dtype=dtype), np.zeros(256, dtype=np.int64), 0
+
+    @property
+    def nbytes(self) -> int:
+        return int(self.edges[self.n]) * self.flat.itemsize + 8 * self.n
+
+    def append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.edges[self.n])
+        if used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(max(used, len(flat)) + len(flat), dtype=self.flat.dtype)])
+        if self.n + len(lengths) >= len(self.edges):
+            self.edges = np.concatenate([self.edges[: self.n + 1], np.zeros(max(self.n, len(lengths)) + len(lengths), dtype=np.int64)])
+        self.flat[used : used + len(flat)] = flat
+        self.edges[self.n + 1 : self.n + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.n += len(lengths)
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of ``index``, joined, and their lengths."""
+        starts = self.edges[index]
+        n = self.edges[index + 1] - starts
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(starts - (ends - n), n)], n
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit numbers spread over all bits."""
     with np.errstate(over="ignore"):

@@ -3,13 +3,14 @@
 The library's split gives words that are encoded on their own. Within a word, the encoding of a prefix is that of a
 shorter prefix and one more token: of the tokens that end at a place, exactly one follows its predecessor in a way that
 the merges leave apart. So one pass over a word gives the last token and the count at each of its places. The count of a
-text's prefix is then that of the whole words before plus that of the last, partial word.
+text's prefix is then that of the whole words before plus that of the last, partial word. Every distinct word's table is
+kept; a text's table is joined from them, and its count, limit and cut are read from it.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,13 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm._arrow import text_slices
+from graphloom.llm._arrow import RaggedStore, bounds, text_slices
 
 #: The split of byte-level BPE; it is fixed by the vocabularies that use it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose counts a worker keeps, and those of which it keeps the whole tables; beyond it they start anew.
-CACHED_WORDS, CACHED_TABLES = 1_500_000, 50_000
-CACHED_PAIRS = 2_000_000
+#: Bytes of words and their tables that a worker keeps, and pairs of tokens; beyond it they start anew.
+STORE_BYTES, CACHED_PAIRS = 160 << 20, 2_000_000
+#: Bytes of texts, or one longer text, whose tables are joined at once.
+SLICE_BYTES = 1 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -47,7 +49,7 @@ class PrefixCounter:
         raw = lambda token: bytes(letters[c] for c in token)
         self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.split = regex.compile(SPLIT)
+        self.split, self.blanks = regex.compile(SPLIT), regex.compile(r"\s+")
         self.ids = {raw(t): i for t, i in model["vocab"].items() if t not in self.specials}
         self.longest = max(map(len, self.ids))
         size = max(self.ids.values()) + 1
@@ -64,8 +66,7 @@ class PrefixCounter:
         # A token that its own merges don't give as one never comes out of an encoding.
         for token in [t for t in self.ids if len(t) > 1 and not self._whole(t)]:
             del self.ids[token]
-        self.words: dict[str, int] = {}
-        self.tables: dict[str, tuple[int, ...]] = {}
+        self._reset()
 
     def _whole(self, token: bytes) -> bool:
         k = self.ids[token]
@@ -114,92 +115,94 @@ class PrefixCounter:
             return tuple(count[1:])
         return tuple(count[k] for k in range(1, len(raw) + 1) if k == len(raw) or raw[k] & 0xC0 != 0x80)
 
-    def of_word(self, text: str) -> tuple[int, ...]:
-        found = self.tables.get(text)
-        if found is None:
-            if len(self.tables) > CACHED_TABLES:
-                self.tables.clear()
-            found = self.word(text)
-            if len(text) <= 64:
-                self.tables[text] = found
-        return found
-
-    def total(self, text: str) -> int:
-        """The token count of a whole word: the last one of its table."""
-        found = self.words.get(text)
-        if found is None:
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
-            if len(self.pairs) > CACHED_PAIRS:
-                self.pairs.clear()
-            found = 1 if text.encode() in self.ids else self.word(text)[-1]
-            if len(text) <= 64:
-                self.words[text] = found
-        return found
-
-    def parts(self, text: str) -> list[tuple[str, bool]]:
-        """The words of a text in order; true marks special strings."""
-        if self.special_split is None or not any(s in text for s in self.specials):
-            return [(w, False) for w in self.split.findall(text)]
-        out: list[tuple[str, bool]] = []
+    def _reset(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.tables = RaggedStore(np.int32)
+        self.key_bytes = 0
+        #: Of each kept word: whether it is a run of blanks, and whether it begins with a blank.
+        self.blank, self.led = bytearray(), bytearray()
+
+    def _number(self, words: list[str]) -> np.ndarray:
+        """The numbers of words in the store; new ones get their tables."""
+        numbers = self.numbers
+        for w in {w for w in words if w not in numbers}:
+            self._keep(w)
+        return np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def _keep(self, w: str) -> int:
+        table = np.array(self.word(w), dtype=np.int32)
+        if len(w) == 3 and w[0] == "'" and self.split.fullmatch(w) and not self.split.fullmatch(w[:2]):
+            table[1] = self.word(w[0])[-1] + self.word(w[1])[-1]  # a contraction cut short is an apostrophe and a letter
+        number = self.numbers[w] = len(self.numbers)
+        self.tables.append(table, np.array([len(w)]))
+        self.blank.append(self.blanks.fullmatch(w) is not None)
+        self.led.append(self.blanks.match(w) is not None)
+        self.key_bytes += 200 + 4 * len(w)
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs.clear()
+        return number
+
+    def tables_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text: the token counts of the prefixes of 0, 1, ..., all characters, each as if encoded alone."""
+        if self.key_bytes + self.tables.nbytes > STORE_BYTES:
+            self._reset()
+        plain = [t for t in texts if not self._special(t)]
+        made = iter(self._joined(plain))
+        return [self._with_specials(t) if self._special(t) else next(made) for t in texts]
+
+    def _special(self, text: str) -> bool:
+        return any(s in text for s in self.specials)
+
+    def _joined(self, texts: list[str]) -> list[np.ndarray]:
+        words: list[str] = []
+        counts = []
+        for text in texts:
+            found = self.split.findall(text)
+            words += found
+            counts.append(len(found))
+        if not words:
+            return [np.zeros(1, np.int32) for _ in texts]
+        number = self._number(words)
+        table, n = self.tables.take(number)
+        ends = np.cumsum(n)
+        first = bounds(np.array(counts, dtype=np.int64))
+        before = bounds(table[ends - 1])
+        base = before[:-1] - np.repeat(before[first[:-1]], counts)
+        # A prefix that ends with the last blank of a run, which the split gives to the next word, holds the run as one word.
+        after_run = np.flatnonzero(np.frombuffer(bytes(self.led), dtype=np.uint8)[number[1:]] & np.frombuffer(bytes(self.blank), dtype=np.uint8)[number[:-1]]) + 1
+        after_run = np.setdiff1d(after_run, first)
+        runs = self._number([words[k - 1] + words[k][0] for k in after_run.tolist()])
+        table = table + np.repeat(base, n)
+        table[ends[after_run] - n[after_run]] = base[after_run - 1] + self.tables.flat[self.tables.edges[runs + 1] - 1]
+        at = bounds(n)[first]
+        zero = np.zeros(1, np.int32)
+        return [np.concatenate([zero, table[a:b]], dtype=np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _with_specials(self, text: str) -> np.ndarray:
+        """The table of a text with special strings: each counts as one token as a whole; within one, the prefix is ordinary
+        text together with the text since the special string before."""
+        out, before, plain = [np.zeros(1, np.int32)], 0, ""
         for k, piece in enumerate(self.special_split.split(text)):
-            out += [(piece, True)] if k % 2 else [(w, False) for w in self.split.findall(piece)]
-        return out
+            if k % 2 == 0:
+                plain = piece
+                out.append(before + self._joined([piece])[0][1:])
+                continue
+            upto = before + int(self._joined([plain])[0][-1])
+            out.append(before + self._joined([plain + piece])[0][len(plain) + 1 : -1])
+            out.append(np.array([upto + 1], dtype=np.int32))
+            before = upto + 1
+        return np.concatenate(out, dtype=np.int32)
 
     def count(self, text: str) -> int:
-        """The number of tokens of a text."""
-        if self.special_split is None or not any(s in text for s in self.specials):
-            words = self.split.findall(text)
-            counts = list(map(self.words.get, words))
-            if None in counts:
-                counts = [self.total(w) if k is None else k for w, k in zip(words, counts, strict=True)]
-            return sum(counts)
-        return sum(1 if special else self.total(w) for w, special in self.parts(text))
+        return int(self.prefixes(text)[-1])
 
     def prefixes(self, text: str) -> np.ndarray:
-        """The token counts of the prefixes of 0, 1, ..., all characters of a text, each as if encoded alone."""
-        parts = self.parts(text)
-        out, before, at = [0], 0, 0
-        for k, (w, special) in enumerate(parts):
-            prior = parts[k - 1] if k and not parts[k - 1][1] else None
-            if special:
-                # Within a special string, the prefix is ordinary text together with the word before.
-                head, base = (prior[0], before - self.of_word(prior[0])[-1]) if prior else ("", before)
-                out += [base + self.count(head + w[:n]) for n in range(1, len(w))] + [before + 1]
-                before += 1
-            else:
-                own = self.of_word(w)
-                counts = [before + c for c in own]
-                if w[0] == "'" and len(w) == 3:  # a contraction cut short is an apostrophe and a letter
-                    counts[1] = before + self.count(w[:2])
-                if prior and prior[0].isspace():
-                    # A prefix that ends with the last blank of a run holds the run as one word.
-                    run = prior[0] + w[0]
-                    if w[0].isspace():
-                        counts[0] = before - self.of_word(prior[0])[-1] + self.of_word(run)[-1]
-                out += counts
-                before += own[-1]
-            at += len(w)
-        return np.array(out, dtype=np.int64)
-
-    def cut(self, text: str, budget: int) -> int:
-        """The length of the longest prefix, in characters, that has at most ``budget`` tokens."""
-        total, starts, tokens, at = 0, [], [], 0
-        parts = self.parts(text)
-        for w, special in parts:
-            starts.append(at)
-            tokens.append(total)
-            total += 1 if special else self.total(w)
-            at += len(w)
-        if total <= budget:
-            return at
-        # Beyond the last word that begins within the budget only a run of blanks or a special string can come back into it.
-        last = bisect_right(tokens, budget) - 1
-        first = max(0, last - 2)
-        window = parts[first : last + 3]
-        counts = tokens[first] + self.prefixes("".join(w for w, _ in window))
-        fits = np.flatnonzero(counts <= budget)
-        return starts[first] + int(fits[-1])
+        return self.tables_of([text])[0]
+
+
+def longest_within(table: np.ndarray, budget: int) -> int:
+    """The length of the longest prefix with at most ``budget`` tokens; counts may fall from a prefix to a longer one."""
+    return int(np.flatnonzero(table <= budget)[-1]) if table[-1] > budget else len(table) - 1
 
 
 @lru_cache(maxsize=2)
@@ -208,19 +211,21 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit, cut_chars): the exact token count of every whole text, and the length of its
-    longest prefix within the budget. Null texts count as empty: 0 tokens. Each row gives a row; an empty table gives none.
+    """(id, n_bytes, n_tokens, over_limit, cut_chars, prefix_crc32), read from the prefix table of every whole text: the exact
+    count, the length of the longest prefix within the budget, and the checksum of the table's counts as little-endian 32-bit
+    integers. Null texts count as empty: 0 tokens. Each row gives a row, also repeated ones; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer_path)
-        for ids, texts in text_slices(batches):
-            n = [own.count(t) for t in texts]
-            cut = [len(t) if k <= budget else own.cut(t, budget) for t, k in zip(texts, n, strict=True)]
-            size = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in (size, n)), pa.array([k > budget for k in n], pa.bool_()), pa.array(cut, pa.int64())], names=["id", "n_bytes", "n_tokens", "over_limit", "cut_chars"])
-
-    out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")
+        for ids, texts in text_slices(batches, SLICE_BYTES):
+            tables = own.tables_of(texts)
+            n = [int(t[-1]) for t in tables]
+            columns = ([len(t.encode()) for t in texts], n, [k > budget for k in n], [longest_within(t, budget) for t in tables], [zlib.crc32(t.astype("<i4").tobytes()) for t in tables])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "n_bytes", "n_tokens", "over_limit", "cut_chars", "prefix_crc32"])
+
+    out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long, prefix_crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -232,8 +237,8 @@ def prefix_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer_path)
-        for ids, texts in text_slices(batches, max_bytes=1 << 20):
-            tables = [own.prefixes(t).astype(np.int32) for t in texts]
+        for ids, texts in text_slices(batches, SLICE_BYTES):
+            tables = own.tables_of(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tables, pa.list_(pa.int32()))], names=["id", "prefix_tokens"])
 
     out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, prefix_tokens array<int>")
