@@ -16,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm._arrow import bounds, ragged_take, text_slices
+from graphloom.llm._arrow import RaggedStore, bounds, ragged_take, row_slices, text_slices
 
 MARK = "▁"
 _NONE = np.int32(2**31 - 1)
 _WORD = re.compile(rb" *[^ ]+| +")
-#: Words whose ids a worker keeps; beyond it the store starts anew (about 150 bytes a word).
-CACHED_WORDS = 600_000
+#: Bytes of words and ids that a worker keeps; beyond it the store starts anew.
+STORE_BYTES = 96 << 20
+#: Bytes of texts or of ids that are worked on at once.
+SLICE_BYTES = 1 << 20
 
 
 class BpeModel:
@@ -159,11 +161,12 @@ class _Store(dict):
 
     def __init__(self) -> None:
         self.waiting: list[bytes] = []
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.key_bytes = RaggedStore(np.int32), 0
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
         self.waiting.append(word)
+        self.key_bytes += 170 + len(word)
         return number
 
 
@@ -174,7 +177,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, begin and end ids included."""
         model = self.model
-        if len(self.store) > CACHED_WORDS:
+        if self.store.key_bytes + self.store.ids.nbytes > STORE_BYTES:
             self.store = _Store()
         store, words, counts = self.store, [], []
         for text in texts:
@@ -186,11 +189,9 @@ class Codec:
         if store.waiting:
             spelled = [w.decode().replace(" ", MARK) for w in store.waiting]
             chars = np.frombuffer("".join(spelled).encode("utf-32-le"), dtype=np.uint32)
-            ids, n = model.merge(chars, np.array([len(w) for w in spelled], dtype=np.int64))
-            store.starts = np.r_[store.starts, len(store.ids) + bounds(n)[:-1]]
-            store.ids, store.lengths = np.r_[store.ids, ids], np.r_[store.lengths, n]
+            store.ids.append(*model.merge(chars, np.array([len(w) for w in spelled], dtype=np.int64)))
             store.waiting = []
-        flat, n = ragged_take(store.ids, store.starts, store.lengths, index)
+        flat, n = store.ids.take(index)
         cut = bounds(n)[bounds(np.array(counts, dtype=np.int64))]
         begin, end = np.array([model.bos], dtype="<u4"), np.array([model.eos], dtype="<u4")
         flat = flat.astype("<u4")
@@ -263,11 +264,11 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     """(id, token_ids): the ids of every whole text as little-endian unsigned 32-bit integers, with begin and end ids.
 
     Null and empty texts have only the begin and end ids. Each row gives a row, also repeated ones; an empty table gives none.
-    Memory is bounded by a slice of 4 MB of texts, or one longer text, and by CACHED_WORDS.
+    Memory is bounded by a slice of SLICE_BYTES of texts, or one longer text, and by STORE_BYTES and a slice's words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in codec(model_path).encode(texts)], pa.binary())], names=["id", "token_ids"])
 
     out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, token_ids binary")
@@ -275,12 +276,14 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
 
 def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """(id, token_ids, decoded): the text of packed ids as the library's decode() gives it; null ids are an empty list."""
+    """(id, token_ids, decoded): the text of packed ids as the library's decode() gives it; null ids are an empty list.
+    Each row gives a row; an empty table gives none. A slice of SLICE_BYTES of ids, or one longer list, is decoded at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for start, n in row_slices(batch.column(1), SLICE_BYTES):
+                part = batch.slice(start, n)
                 packed = [np.frombuffer(x or b"", dtype="<u4") for x in part.column(1).to_pylist()]
                 decoded = pa.array(codec(model_path).decode(packed), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), decoded], names=["id", "token_ids", "decoded"])
