@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from graphloom.llm._arrow import bounds, hashed_words, ragged_take, text_slices
+from graphloom.llm._arrow import RaggedStore, bounds, hashed_words, text_slices
 from graphloom.plans.scratch import written
 
-#: Chunks whose ids a worker keeps; beyond it the store starts anew (about 200 bytes each).
-CACHED_CHUNKS = 1_000_000
+#: Bytes of chunks' hashes and ids that a worker keeps; beyond it the store starts anew.
+STORE_BYTES = 128 << 20
 #: Bytes of texts, or one longer text, whose chunks are hashed at once: the arrays take some fifty times that.
 SLICE_BYTES = 1 << 20
 #: Numbers of groups that the planner tries.
@@ -176,31 +176,50 @@ class _Numbers(dict):
         return number
 
 
+#: The only split that is taken: words are runs of letters, single digits, runs of signs, and contractions; a fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _lowers(spec: dict) -> bool:
+    """Whether a tokenizer file's normaliser makes letters small; ValueError if its words might reach over blanks."""
+    steps = lambda part: [] if part is None else [y for x in part.get("normalizers", part.get("pretokenizers", [])) for y in steps(x)] if part["type"] == "Sequence" else [part]
+    splits, made = steps(spec["pre_tokenizer"]), steps(spec["normalizer"])
+    fits = [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": SPLIT} and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True)
+    fits = fits and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+    fits = fits and all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and (x["pattern"], x["content"]) == ({"Regex": r"\s+"}, " ")) for x in made)
+    if not fits or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        raise ValueError("only tokenizers that drop blanks and split words at signs are supported")
+    return any(x["type"] == "Lowercase" for x in made)
+
+
 class _Tokens:
-    """Ids of texts, by the chunks between blanks: the tokenizer's words never reach over a blank."""
+    """Ids of texts, by the chunks between blanks: the tokenizer's words never reach over a blank, and others are refused."""
 
     def __init__(self, path: str) -> None:
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            #: Whether A-Z are as a-z to the tokenizer.
+            self.lower = _lowers(json.load(f))
         self.own = Tokenizer.from_file(path)
+        self.own.no_truncation()
+        self.own.no_padding()
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.mark = next(iter(self.special), None)
         self.mark_id = self.own.token_to_id(self.mark) if self.mark else -1
         self._reset()
 
     def _reset(self) -> None:
-        self.number = _Numbers()
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.number, self.ids = _Numbers(), RaggedStore(np.int32)
 
     def _spell(self, chunks: list[str]) -> None:
         parts = self._encoded(chunks)
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(parts), dtype=np.int32, count=int(sizes.sum()))
-        self.starts = np.r_[self.starts, len(self.ids) + bounds(sizes)[:-1]]
-        self.ids, self.lengths = np.r_[self.ids, flat], np.r_[self.lengths, sizes]
+        self.ids.append(np.fromiter(chain.from_iterable(parts), dtype=np.int32, count=int(sizes.sum())), sizes)
 
     def _encoded(self, chunks: list[str]) -> list[list[int]]:
         parts: list[list[int]] = []
@@ -220,12 +239,12 @@ class _Tokens:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Chunks are told apart by 64-bit hashes.
 
-        Unless a special string may be there, A-Z count as a-z, and signs after a letter are chunks of their own, as they are to the tokenizer.
+        Unless a special string may be there, A-Z count as a-z if they do to the tokenizer, and signs after a letter are chunks of their own, as they are to the tokenizer.
         """
-        if len(self.number) > CACHED_CHUNKS:
+        if 150 * len(self.number) + self.ids.nbytes > STORE_BYTES:
             self._reset()
         plain = not any(s[:2] in t for s in self.special for t in texts)
-        found = hashed_words(texts, fold=plain, apart=plain)
+        found = hashed_words(texts, fold=plain and self.lower, apart=plain)
         unique, at, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
         known = len(self.number)
         number = np.fromiter(map(self.number.__getitem__, unique.tolist()), dtype=np.int64, count=len(unique))
@@ -233,7 +252,7 @@ class _Tokens:
         if new.any():
             raw, places = found.raw, at[new]
             self._spell([raw[a:b].decode() for a, b in zip(found.start[places].tolist(), found.end[places].tolist(), strict=True)])
-        flat, n = ragged_take(self.ids, self.starts, self.lengths, number[inverse])
+        flat, n = self.ids.take(number[inverse])
         cut = bounds(n)[found.cut]
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -247,7 +266,8 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
     """(id, piece, start, length, ids_crc32, task, nth[, ids]): the pieces of each document's ids and the end id.
 
     Documents longer than the capacity are cut into pieces of it, the last may be shorter. A null or empty text is the end
-    id alone. ``nth`` counts the pieces of a length within the task that made them. Repeated rows make pieces of their own.
+    id alone. ``nth`` counts the pieces of a length within the task that made them. Repeated rows and rows without an id make
+    pieces of their own; an empty table makes none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
