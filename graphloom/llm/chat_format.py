@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from graphloom.llm._arrow import row_slices
+
 START, END = "### ", "</turn>\n"
 
 
@@ -123,42 +125,65 @@ def canonical_turns(df: DataFrame, id_col: str, registry: Registry | None = None
     return rows.select("conv_id", F.col("seq").cast("long"), "item.role", "item.text", name).where((F.col("role") != "system") | (F.col("text") != ""))
 
 
-def canonical_json_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(conv_id, seq, role, text, layout, error) for records as JSON texts of any layout, each found by its own fingerprint.
+def _said(value: object) -> str:
+    """A role or text: null is empty, other values than texts are their JSON; what UTF-8 can't hold becomes U+FFFD."""
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return text.encode("utf-8", "surrogatepass").decode("utf-8", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+
+
+def _place(value: object) -> int | None:
+    """A turn's place if it is a whole number that 64 bits hold, also as text."""
+    if isinstance(value, bool) or not isinstance(value, int | float | str):
+        return None
+    try:
+        number = int(value)
+    except (ValueError, OverflowError):
+        return None
+    return number if -(2**63) <= number < 2**63 and (isinstance(value, str) or number == value) else None
 
-    Broken JSON, null and records of no layout give one row with seq null and the reason in ``error``.
-    """
 
-    def turns(raw: str | None, registry: Registry) -> Iterator[tuple]:
-        try:
-            record = json.loads(raw) if raw is not None else None
-        except ValueError:
-            record = None
+def _json_turns(raw: str | None, registry: Registry) -> list[tuple]:
+    """(seq, role, text, layout, error) of a record's turns, or one row with the error."""
+    wrong = lambda why: [(None, None, None, None, why)]
+    try:
+        record = json.loads(raw) if raw is not None else None
         if not isinstance(record, dict):
-            yield None, None, None, None, "not a JSON object"
-            return
+            return wrong("not a JSON object")
         own, layout = registry.find(value_paths(record))
-        said = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
         if layout is None:
-            yield None, None, None, None, f"no layout has the fingerprint {own}"
-        elif layout.order:
-            yield int(record[layout.order]), layout.roles.get(said(record[layout.role]), said(record[layout.role])), said(record[layout.text]), layout.name, None
-        elif layout.items:
-            for k, item in enumerate(record[layout.items]):
-                item = item if isinstance(item, dict) else {}
-                yield k, layout.roles.get(said(item.get(layout.role)), said(item.get(layout.role))), said(item.get(layout.text)), layout.name, None
-        else:
-            found = [(r, "\n\n".join(said(record[f]) for f in fields if said(record.get(f)))) for r, fields in layout.turns if any(f in record for f in fields)]
-            for k, (r, t) in enumerate(x for x in found if x[0] != "system" or x[1]):
-                yield k, r, t, layout.name, None
+            return wrong(f"no layout has the fingerprint {own}")
+        name = lambda role: layout.roles.get(_said(role), _said(role))
+        if layout.order:
+            place = _place(record[layout.order])
+            return wrong("the turn's place is not a whole number") if place is None else [(place, name(record[layout.role]), _said(record[layout.text]), layout.name, None)]
+        if layout.items:
+            items = [x if isinstance(x, dict) else {} for x in record[layout.items]]
+            return [(k, name(x.get(layout.role)), _said(x.get(layout.text)), layout.name, None) for k, x in enumerate(items)]
+        found = [(r, "\n\n".join(_said(record[f]) for f in fields if _said(record.get(f)))) for r, fields in layout.turns if any(f in record for f in fields)]
+        return [(k, r, t, layout.name, None) for k, (r, t) in enumerate(x for x in found if x[0] != "system" or x[1])]
+    except RecursionError:
+        return wrong("nested too deeply")
+    except ValueError:
+        return wrong("not a JSON object")
+
+
+def canonical_json_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(conv_id, seq, role, text, layout, error) for records as JSON texts of any layout, each found by its own fingerprint.
+
+    Broken or too deeply nested JSON, null, records of no layout and turns without a place give one row with seq null and
+    the reason in ``error``; the other records go on. Half surrogates become U+FFFD. A list without items has no turns.
+    Repeated and null ids stay as they are; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         registry = Registry()
         for batch in batches:
-            rows = [(i, *t) for i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t in turns(raw, registry)]
-            kinds = (pa.int64(), pa.int64(), *[pa.string()] * 4)
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["conv_id", "seq", "role", "text", "layout", "error"])
+            for start, n in row_slices(batch.column(1), 1 << 20):
+                part = batch.slice(start, n)
+                rows = [(i, *t) for i, raw in zip(*(c.to_pylist() for c in part.columns), strict=True) for t in _json_turns(raw, registry)]
+                kinds = (pa.int64(), pa.int64(), *[pa.string()] * 4)
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["conv_id", "seq", "role", "text", "layout", "error"])
 
     return df.select(F.col(id_col).cast("long"), F.col(json_col).cast("string")).mapInArrow(run, "conv_id long, seq long, role string, text string, layout string, error string")
 
@@ -172,9 +197,11 @@ def escaped(c: Column) -> Column:
 def formatted_turns(turns: DataFrame) -> DataFrame:
     """The turns with their formatted text and the part of it under the loss mask: (mask_start, mask_chars) in characters.
 
-    A conversation is the joined texts of its turns in the order of seq, then role and text. The mask covers what
-    assistants say, without marks. Roles also have their colons escaped.
+    A conversation is the joined texts of its turns in the order of seq, then role and text; turns that tie in all three are
+    equal. Its rows come in one task and in this order, and are formatted after the shuffle, which carries each text once.
+    The mask covers what assistants say, without marks. Roles also have their colons escaped. No turns give no rows.
     """
+    turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
     head = F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit(":"), F.lit("\\:")), F.lit(": "))
     body = escaped(F.col("text"))
     return turns.select(
@@ -204,12 +231,12 @@ def unescaped(text: str) -> str:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read from the formatted texts and masks.
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read from the formatted texts and masks
+    as ``formatted_turns`` gives them, without a shuffle in between.
 
-    The rows of a conversation meet in one task, as a running digest takes them in order, but stream through it; a long
+    The rows of a conversation are in one task, as a running digest takes them in order, but stream through it; a long
     one needs no memory. Conversations with a null id are one; an empty table gives no rows.
     """
-    rows = formatted.select("conv_id", "seq", "role", "text", "formatted", "mask_start", "mask_chars").repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: object = run  # no conversation yet
@@ -234,7 +261,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if turns is not None:
             yield _digests([(key, n, turns.hexdigest(), chars, loss.hexdigest(), total)])
 
-    return rows.select("conv_id", "formatted", "mask_start", "mask_chars").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "mask_start", "mask_chars").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:
