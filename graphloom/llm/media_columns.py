@@ -11,11 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm._arrow import text_slices
+from graphloom.llm._arrow import row_slices, text_slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 ROW = 3 * WIDTH
+#: Bytes of the largest picture that is read.
+MAX_BYTES = 1 << 30
+#: Bytes of texts or pictures that are worked on at once.
+SLICE_BYTES = 1 << 20
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -56,6 +60,8 @@ def read_png(media: bytes) -> tuple[int, int, int, np.ndarray]:
         if at + 12 + n > len(media) or struct.unpack_from(">I", media, at + 8 + n)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"checksum of chunk {kind!r}")
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("the header's length")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
@@ -67,11 +73,16 @@ def read_png(media: bytes) -> tuple[int, int, int, np.ndarray]:
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
     if depth != 8 or channels is None or packing or filtering or interlace:
         raise ValueError("only 8-bit grey and colour pictures without interlace")
+    size = height * (width * channels + 1)
+    if not 0 < size <= MAX_BYTES:
+        raise ValueError("a picture without samples or of too many")
+    # No more is unpacked than the header tells, whatever the data would give.
+    stream = zlib.decompressobj()
     try:
-        lines = zlib.decompress(b"".join(data))
+        lines = stream.decompress(b"".join(data), size + 1)
     except zlib.error as e:
         raise ValueError(str(e)) from None
-    if len(lines) != height * (width * channels + 1):
+    if len(lines) != size or not stream.eof:
         raise ValueError("the data don't fill the picture")
     return width, height, channels, unfilter(np.frombuffer(lines, dtype=np.uint8).reshape(height, -1), channels)
 
@@ -133,7 +144,7 @@ def to_png(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, SLICE_BYTES):
             raw = [t.encode() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([write_png(padded(x), level) for x in raw], pa.binary())], names=["id", "n_bytes", "media"])
 
@@ -146,15 +157,16 @@ _READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 lon
 
 def read_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """The columns ``keep``, the media and what is read back from them: size and digest of the samples, the checksum of
-    their last 16, the cosine hash. Broken and null media give nulls and say why in ``error``; the other rows go on.
+    their last 16, the cosine hash. Broken and null media, and pictures of more than MAX_BYTES, give nulls and say why in
+    ``error``; the other rows go on. Each row gives a row, also a repeated one; an empty table gives none.
     """
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in keep), _READ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(at, 512), []
+            for start, n in row_slices(batch.column(len(keep)), SLICE_BYTES, 512):
+                part, rows = batch.slice(start, n), []
                 for media in part.column(len(keep)).to_pylist():
                     try:
                         width, height, channels, samples = read_png(media or b"")
