@@ -15,7 +15,7 @@ CAPACITY, BUDGET, SHARDS, SEED = 2048, 1024, 24, 20240229
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model), model)
+    ids = sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), model)
     return ids.select("doc_id", F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

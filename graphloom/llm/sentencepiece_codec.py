@@ -290,3 +290,17 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
 
     out = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("token_ids")).mapInArrow(run, "id long, token_ids binary, decoded string")
     return out.withColumnRenamed("id", id_col)
+
+
+def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, token_ids, decoded): ``encode``, and ``decode`` of its ids, in the same worker, slice by slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_path)
+        for ids, texts in text_slices(batches, SLICE_BYTES):
+            packed = [x.tobytes() for x in own.encode(texts)]
+            decoded = own.decode([np.frombuffer(x, dtype="<u4") for x in packed])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], names=["id", "token_ids", "decoded"])
+
+    out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, token_ids binary, decoded string")
+    return out.withColumnRenamed("id", id_col)
