@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.llm._joins import join_common
 from graphloom.llm.quality_rules import BLANKS, let
 from graphloom.plans.scratch import written
 from graphloom.plans.sizes import broadcast_if_small
@@ -67,40 +68,51 @@ def _lines(df: DataFrame, depth: int, similarity: float) -> DataFrame:
 
 
 def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """(key, first): the keys of at least ``min_docs`` documents and the least id. A very common key is counted by (key, id) first."""
-    return rows.where("id is not null").groupBy(key, "id").agg(F.lit(1).alias("n")).groupBy(key).agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+    """(key, first, n): the keys of at least ``min_docs`` documents, the least id and the number of rows. A very common key is
+    counted by (key, id) first."""
+    by_id = rows.where("id is not null").groupBy(key, "id").agg(F.count("*").alias("n"))
+    return by_id.groupBy(key).agg(F.count("*").alias("n_docs"), F.min("id").alias("first"), F.sum("n").alias("n")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+
+
+def _met(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """The rows with the columns of a written table of recurring keys: by a broadcast if it is small, else common keys apart."""
+    small = broadcast_if_small(table)
+    return rows.join(small, key, how) if small is not table else join_common(rows, table, key, "n", how)
 
 
 def recurring_lines(df: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """(id, row, pos) of the lines to drop, for a table (id, text) without null texts."""
     keyed = written(_lines(df, depth, similarity).drop("line"), "line-keys")
     whole = written(_recurring(keyed, "key", min_docs), "line-templates")
-    dropped = keyed.join(whole, "key").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "row", "pos")
+    told = _met(keyed, whole, "key", "left")
+    dropped = told.where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).select("id", "row", "pos")
     # What is left, in leaves of many documents, is looked at word by word.
-    rest = keyed.join(whole, "key", "left_anti")
-    leaves = written(_recurring(rest, "leaf", min_docs).select("leaf"), "line-leaves")
-    chosen = written(rest.join(leaves, "leaf", "left_semi").select("id", "row", "pos", "leaf"), "leaf-places")
+    rest = told.where(F.col("first").isNull()).select(keyed.columns)
+    leaves = written(_recurring(rest, "leaf", min_docs).select("leaf", "n"), "line-leaves")
+    chosen = written(_met(rest, leaves, "leaf").select("id", "row", "pos", "leaf"), "leaf-places")
     by_text = broadcast_if_small(chosen.groupBy("id", "row").agg(F.collect_set(F.struct("pos", "leaf")).alias("places")).select(F.col("id").alias("c_id"), F.col("row").alias("c_row"), "places"), chosen)
     texts = df.withColumn("row", F.xxhash64("text")).join(by_text, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")))
     found = let(_odd(F.col("text")), lambda odd: let(F.split("text", "\n"), lambda x: F.transform("places", lambda p: F.struct(p["pos"].alias("pos"), p["leaf"].alias("leaf"), masked(F.get(x, p["pos"]), odd).alias("line")))))
     lines = texts.select("id", "row", F.inline(found))
     parts = lines.select("id", "row", "pos", "leaf", F.posexplode(F.split("line", " ")).alias("place", "word"))
-    fixed = parts.where((F.col("place") >= depth) & (F.col("word") != "<*>") & F.col("id").isNotNull()).groupBy("leaf", "place", "word", "id").agg(F.lit(1).alias("n"))
-    fixed = fixed.groupBy("leaf", "place", "word").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs).select("leaf", "place", "word", F.lit(True).alias("fixed"))
-    told = parts.join(fixed, ["leaf", "place", "word"], "left").withColumn("fixed", F.col("fixed").isNotNull() | ((F.col("place") < depth) & (F.col("word") != "<*>")))
+    parts = parts.withColumn("at", F.struct("leaf", "place", "word"))
+    by_id = parts.where((F.col("place") >= depth) & (F.col("word") != "<*>") & F.col("id").isNotNull()).groupBy("at", "id").agg(F.count("*").alias("n"))
+    fixed = by_id.groupBy("at").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n")).where(F.col("n_docs") >= min_docs).select("at", "n", F.lit(True).alias("fixed"))
+    told = _met(parts, written(fixed, "fixed-words"), "at", "left").withColumn("fixed", F.col("fixed").isNotNull() | ((F.col("place") < depth) & (F.col("word") != "<*>")))
     made = told.groupBy("id", "row", "pos", "leaf").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("word")).otherwise("<*>").alias("word")))), lambda x: x["word"]), " ").alias("template"),
         F.avg(F.col("fixed").cast("int")).alias("share"),
     )
     made = made.where(F.col("share") >= similarity).withColumn("template", F.xxhash64("leaf", "template"))
     made = written(made.select("id", "row", "pos", "template"), "leaf-templates")
-    more = made.join(_recurring(made, "template", min_docs), "template").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "row", "pos")
+    more = _met(made, written(_recurring(made, "template", min_docs), "recurring-templates"), "template").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "row", "pos")
     return dropped.unionByName(more)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, also: tuple[str, ...] = ()) -> DataFrame:
     """(id, text, n_lines, n_dropped) for every row: the text without the lines of recurring templates.
 
+    A template recurs from ``min_docs`` documents on, whatever its length; what fewer have stays.
     Lines without a word stay. A null text stays null with no lines; an empty one has none with a word. Documents are told
     apart by id: rows of the same id count as one document, those with a null id count for none and keep only what doesn't recur
     elsewhere. Equal rows get equal results. An empty table gives no rows. ``also`` names further columns to pass on, as one struct.
@@ -122,6 +134,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents with the deduplicated texts in their text column, other columns as they are, but for documents of
-    which every line with a word was dropped: each of them recurs elsewhere, so they go."""
+    which every line with a word was dropped: each of them recurs elsewhere, so they go. An empty table stays empty."""
     out = line_dedup(docs, id_col, text_col, also=tuple(docs.columns), **params).where((F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines")))
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"also.`{c}`").alias(c) for c in docs.columns))
