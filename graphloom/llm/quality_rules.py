@@ -134,7 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model((0.0,) * BUCKETS, None)
     ratios = tuple(round(math.log((t + 1) / (trusted_total + BUCKETS)) - math.log((n + 1) / (total + BUCKETS)), 6) for n, t in zip(raw, target, strict=True))
     scores = texts.join(trusted, "__id").select(let(_hashes(F.col("__text")), lambda h: F.when(F.size(h) >= 50, _score(h, _literal(ratios)))).alias("score"))
-    low, spread = scores.agg(F.percentile("score", F.lit(QUANTILE)), F.coalesce(F.stddev_pop("score"), F.lit(0.0))).first()
+    # The deviation comes from whole numbers, millionths, whose sums don't depend on the order of tasks.
+    parts = F.round(F.col("score") * 1_000_000).cast("decimal(19,0)")
+    low, n, held, squares = scores.agg(F.percentile("score", F.lit(QUANTILE)), F.count("score"), F.sum(parts), F.sum((parts * parts).cast("decimal(38,0)"))).first()
+    spread = math.sqrt(max(0, n * int(squares) - int(held) ** 2)) / n / 1_000_000 if n else 0.0
     return Model(ratios, None if low is None else round(low - MARGIN * spread, 6))
 
 
@@ -148,6 +151,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. The rows are judged where they are, without a shuffle."""
+    """The rows of ``docs`` that the rules keep, with all their columns. The rows are judged where they are, without a shuffle.
+    An empty table stays empty."""
     out = judged(docs, fit(docs, labels, id_col, text_col), id_col, text_col, tuple(f"`{c}`" for c in docs.columns))
     return out.where("kept").select("__also.*")
