@@ -60,13 +60,15 @@ class Permutation:
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "row_no") -> tuple[DataFrame, int]:
-    """``df`` with the rows' numbers from 0 in a total order, and their count. No task holds more than a range of the order.
+    """``df`` with the rows' numbers from 0 in a total order, and their count. No task holds more than a range of the order;
+    rows that tie in it are told apart by where they are read, so that very many of them are cut by ranges, too.
 
     The ranges are written first, as their borders come from a sample and may differ when computed again. One row for
     each range goes to the driver.
     """
-    part, at = "__part", "__at"
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mono", F.monotonically_increasing_id())
+    part, at, tie = "__part", "__at", "__tie"
+    order = [*order, tie]
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop(tie).withColumn("__mono", F.monotonically_increasing_id())
     kept = written(ranged.withColumns({part: F.shiftright("__mono", 33), at: F.col("__mono").bitwiseAND((1 << 33) - 1)}).drop("__mono"), "numbered")
     counts = sorted((r[0], r[1]) for r in kept.groupBy(part).agg(F.max(at) + 1).collect())
     before, total = [], 0
