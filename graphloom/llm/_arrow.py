@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,6 +31,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, max
             yield ids[start : start + n], [t or "" for t in texts.slice(start, n).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers live on from stage to stage."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _offsets(column: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     return np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -125,12 +132,12 @@ def hashed_words(texts: list[str], fold: bool, apart: bool = False) -> HashedWor
         start, end = np.sort(np.r_[start, more], kind="stable"), np.sort(np.r_[end, more], kind="stable")
     if not len(start):
         return HashedWords(raw, start, end, np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
-    low = flat[~blank].astype(np.int64)
+    low = flat[~blank].astype(np.int32)
     if fold:
         low += 32 * ((low >= 65) & (low <= 90))
     size = end - start
     first = bounds(size)[:-1]
-    place = np.arange(len(low)) - np.repeat(first, size)
+    place = np.arange(len(low), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
     low += np.minimum(place, _PLACES - 1) << 8
     values = _AT_PLACE[low]
     if (far := np.flatnonzero(place >= _PLACES - 1)).size:

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from graphloom.llm._arrow import RaggedStore, bounds, hashed_words, text_slices
+from graphloom.llm._arrow import RaggedStore, bounds, give_back, hashed_words, text_slices
 from graphloom.plans.scratch import written
 
 #: Bytes of chunks' hashes and ids that a worker keeps; beyond it the store starts anew.
-STORE_BYTES = 128 << 20
-#: Bytes of texts, or one longer text, whose chunks are hashed at once: the arrays take some fifty times that.
-SLICE_BYTES = 1 << 20
+STORE_BYTES = 64 << 20
+#: Bytes of texts, or one longer text, whose chunks are hashed at once: the arrays take some thirty times that.
+SLICE_BYTES = 1 << 19
 #: Numbers of groups that the planner tries.
 GROUPS = (8, 32, 128, 512)
 
@@ -168,14 +168,6 @@ def segments(blocks: list[Block]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "copies", "sequence", "offset"), table.T.copy(), strict=True))
 
 
-class _Numbers(dict):
-    """Hash of a chunk -> its number; a new one gets the next number."""
-
-    def __missing__(self, chunk: int) -> int:
-        number = self[chunk] = len(self)
-        return number
-
-
 #: The only split that is taken: words are runs of letters, single digits, runs of signs, and contractions; a fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -214,7 +206,8 @@ class _Tokens:
         self._reset()
 
     def _reset(self) -> None:
-        self.number, self.ids = _Numbers(), RaggedStore(np.int32)
+        #: The hashes of the chunks met so far, sorted, and under which number each one's ids are.
+        self.hashes, self.number, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), RaggedStore(np.int32)
 
     def _spell(self, chunks: list[str]) -> None:
         parts = self._encoded(chunks)
@@ -241,17 +234,20 @@ class _Tokens:
 
         Unless a special string may be there, A-Z count as a-z if they do to the tokenizer, and signs after a letter are chunks of their own, as they are to the tokenizer.
         """
-        if 150 * len(self.number) + self.ids.nbytes > STORE_BYTES:
+        if 16 * len(self.hashes) + self.ids.nbytes > STORE_BYTES:
             self._reset()
         plain = not any(s[:2] in t for s in self.special for t in texts)
         found = hashed_words(texts, fold=plain and self.lower, apart=plain)
         unique, at, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
-        known = len(self.number)
-        number = np.fromiter(map(self.number.__getitem__, unique.tolist()), dtype=np.int64, count=len(unique))
-        new = number >= known
-        if new.any():
-            raw, places = found.raw, at[new]
+        place = np.searchsorted(self.hashes, unique)
+        known = np.zeros(len(unique), dtype=bool)
+        known[place < len(self.hashes)] = self.hashes[place[place < len(self.hashes)]] == unique[place < len(self.hashes)]
+        if not known.all():
+            raw, places, before = found.raw, at[~known], self.ids.n
             self._spell([raw[a:b].decode() for a, b in zip(found.start[places].tolist(), found.end[places].tolist(), strict=True)])
+            self.hashes = np.insert(self.hashes, place[~known], unique[~known])
+            self.number = np.insert(self.number, place[~known], np.arange(before, self.ids.n))
+        number = self.number[np.searchsorted(self.hashes, unique)]
         flat, n = self.ids.take(number[inverse])
         cut = bounds(n)[found.cut]
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -285,6 +281,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
             made.insert(5, pa.array([task] * len(rows[0]), pa.int64()))
             names = ["id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
             yield pa.RecordBatch.from_arrays(made if with_ids else made[:-1], names=names if with_ids else names[:-1])
+        give_back()
 
     schema = "id long, piece int, start long, length long, ids_crc32 long, task long, nth long" + ", ids binary" * with_ids
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

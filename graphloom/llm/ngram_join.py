@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphloom.llm._arrow import bounds, text_slices
+from graphloom.llm._arrow import bounds, give_back, text_slices
 from graphloom.llm._joins import join_common
 from graphloom.plans.scratch import drop_written, written
 from graphloom.plans.sizes import BROADCAST_ROWS, broadcast_if_small
@@ -124,6 +124,7 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
             digests = [_digest(s) for s in sets]
             columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([_key(d) for d in digests], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "set_id", "key"])
+        give_back()
 
     return docs.mapInArrow(run, "id long, n long, set_id binary, key long")
 
@@ -230,6 +231,7 @@ def _ranges(docs: DataFrame, words: int, total: int, bucket_tokens: int, round_b
                 keys = np.array([0, *map(_key, sets)], dtype=np.int64)
                 owner = np.repeat(np.arange(1, len(keys)), [len(s) for s in sets.values()])
                 yield _batch(_rows(np.concatenate(list(sets.values())), owner, keys, upto[0], narrow), ["range", "tokens", "owners", "counts", "told"])
+        give_back()
 
     made = [docs.mapInArrow(first, _PACKED)]
     for k in range(1, len(upto)):
@@ -265,6 +267,8 @@ def _shared(docs: DataFrame, words: int, total: int, n_sets: int, bucket_tokens:
         found[:1] = 0
         sets, counts = packed(told["owners"], told["counts"])
         some = np.flatnonzero(found)
+        del rest, tokens, owner
+        give_back()
         return pd.DataFrame(_by_set(np.concatenate([sets, keys[some]]), np.concatenate([counts, found[some]]), upto[0]), columns=["range", "owners", "counts"])
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -285,6 +289,7 @@ def _token_sets(docs: DataFrame, words: int) -> DataFrame:
         for _, texts in text_slices(batches):
             sets = [s for s in shingle_sets(texts, words) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "n", "tokens"])
+        give_back()
 
     return docs.mapInArrow(run, "set_id binary, n long, tokens binary")
 
@@ -476,7 +481,9 @@ def _joined(units: DataFrame, sets: DataFrame, percent: int, bins: int, unit_set
     """
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([_join_unit(x, percent) for _, x in rows.groupby("unit")])
+        links = pd.concat([_join_unit(x, percent) for _, x in rows.groupby("unit")])
+        give_back()
+        return links
 
     large = units.groupBy("unit").agg(F.count("*").alias("members")).where(F.col("members") > unit_sets // 8).select("unit", F.lit(True).alias("alone"))
     dealt = units.join(broadcast_if_small(written(large, "large-units")), "unit", "left")
