@@ -47,7 +47,11 @@ FILE_NAMES = (
     (r"(?i)Perpres\s*(?:Nomor|No\.?)\s*(\d+)\s*(?:Tahun)\s*(\d{4})", "Perpres"),
     (r"(?i)Permen\s*\w*\s*(?:Nomor|No\.?)\s*(\d+)\s*(?:Tahun)\s*(\d{4})", "Permen_Kominfo"),
 )
+# Fixed value: a fenced block, with or without one of these languages.
+FENCE = r"(?s)```(?:cypher|sql|plaintext)?\s*\n?(.*?)```"
+# Fixed value: file names in a short form.
 COMPACT_NAME = r"(?i)(UU|PP|Perpres)[_\-](\d+)[_\-](\d{4})"
+# Titles within the first page, and what a document of that kind is called.
 TITLES = (
     (r"(?is)UNDANG-UNDANG\s+REPUBLIK\s+INDONESIA\s+.*?TENTANG\s+(.+?)(?:\n|$)", "Undang-Undang"),
     (r"(?is)PERATURAN\s+OTORITAS\s+JASA\s+KEUANGAN.*?TENTANG\s+(.+?)(?:\n|$)", "POJK"),
@@ -117,7 +121,7 @@ def line_part(c: str | Column, kind: str | Column, group: int) -> Column:
 
 
 def clean_ocr_number(c: str | Column) -> Column:
-    """Digits, after letters that scans confuse with them were replaced."""
+    """Digits, after letters that scans confuse with them were replaced (fixed values)."""
     return F.regexp_replace(F.translate(F.regexp_replace(_col(c), r"\s+", ""), "lIOogGSs", "11008655"), "[^0-9]", "")
 
 
@@ -193,9 +197,10 @@ def syntax_ok(c: str | Column) -> Column:
 
 
 def without_fence(c: str | Column) -> Column:
-    """The first fenced block of an answer, or the answer without a fence."""
-    block = F.regexp_extract(_col(c), r"(?s)```[a-zA-Z]*\s*\n(.*?)```", 1)
-    return stripped(F.when(block != "", block).otherwise(F.regexp_replace(_col(c), r"^```[a-zA-Z]*\s*\n?", "")))
+    """The first fenced block of an answer, on one line or more, or the answer without a fence that nothing closes."""
+    fenced = _col(c).rlike(FENCE)
+    left_open = F.rtrim(stripped(F.regexp_replace(_col(c), r"\A[^\n]*\n?", "")), F.lit("`"))
+    return F.when(fenced, stripped(F.regexp_extract(_col(c), FENCE, 1))).when(F.startswith(_col(c), F.lit("```")), left_open).otherwise(stripped(c))
 
 
 def parsed_json(c: str | Column) -> Column:

@@ -74,7 +74,14 @@ def khop_subgraph(spark: Spark, sf_dir: str) -> DataFrame:
     return star_graph(spark, sf_dir).khop(_start(spark), 2)[0]
 
 
-@query(G + _HOPS + "SELECT src, type, dst FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+# The steps are materialised and joined: as lists of subqueries DuckDB works them out again for each edge.
+_HOP_EDGES = """, e AS MATERIALIZED (SELECT * FROM edges), u AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+h1 AS MATERIALIZED (SELECT DISTINCT b AS id FROM u WHERE a = 'nation:3' AND b <> 'nation:3'),
+h2 AS MATERIALIZED (SELECT DISTINCT u.b AS id FROM u JOIN h1 ON u.a = h1.id), k AS MATERIALIZED (SELECT 'nation:3' AS id UNION SELECT id FROM h1 UNION SELECT id FROM h2)
+SELECT e.src, e.type, e.dst FROM e JOIN k x ON x.id = e.src JOIN k y ON y.id = e.dst"""
+
+
+@query(G + _HOP_EDGES)
 def khop_edges(spark: Spark, sf_dir: str) -> DataFrame:
     return star_graph(spark, sf_dir).khop(_start(spark), 2)[1]
 
@@ -127,7 +134,11 @@ def embedding_pairs(spark: Spark, sf_dir: str) -> DataFrame:
     return vectors.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35).withColumn("cos", F.round("cos", 6))
 
 
-@query()
+@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+f AS (SELECT label, vec_id AS id, r, vec_id AS leader, [{'id': vec_id, 'e': e}] AS leaders FROM v WHERE r = 1
+  UNION ALL SELECT label, id, r, coalesce(near.id, id), CASE WHEN near IS NULL THEN list_append(leaders, {'id': id, 'e': e}) ELSE leaders END
+  FROM (SELECT v.label, v.vec_id AS id, v.r, v.e, f.leaders, list_filter(f.leaders, lambda x: list_dot_product(x.e, v.e) >= 0.35)[1] AS near FROM f JOIN v ON v.label = f.label AND v.r = f.r + 1))
+SELECT label AS type, id, leader FROM f""")
 def dedup_embedding(spark: Spark, sf_dir: str) -> DataFrame:
     return vectors.leaders(table(spark, sf_dir, "embeddings"), 0.35)
 

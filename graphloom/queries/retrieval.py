@@ -76,9 +76,13 @@ def query_shape_check(spark: Spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.query_shape("html").alias("ok"))
 
 
-@query("SELECT p_partkey, p_name AS q FROM part")
+_FENCED = ("Sure:\n```cypher\n{}\n```\nDone", "```{}```", "```sql {} ```", "``` \n {}", "```cypher\n{}``", "  {}\n", "```plaintext\n\n{}\n\n``` and ```second```", "```{}")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 7 THEN '' ELSE p_name END AS q FROM part")
 def strip_code_fence(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", T.without_fence(F.concat(F.lit("Sure:\n```cypher\n"), F.col("p_name"), F.lit("\n```\nDone"))).alias("q"))
+    answer = F.get(F.array(*(F.replace(F.lit(x), F.lit("{}"), F.col("p_name")) for x in _FENCED)), (F.col("p_partkey") % 8).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.without_fence(answer).alias("q"))
 
 
 @query("SELECT coalesce(source, 'Lainnya') AS name, count(*) AS n, CASE coalesce(source, 'Lainnya') WHEN 'src1' THEN 0 WHEN 'src0' THEN 1 ELSE 2 END AS place FROM documents GROUP BY source")

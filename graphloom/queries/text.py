@@ -44,16 +44,33 @@ def pick_text(spark: Spark, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.length(F.coalesce(F.when(F.col("scanned"), F.col("url")).otherwise(F.col("html")), F.lit(""))).alias("n"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<(br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), E' \t\n\r\x0b\x0c') AS text FROM c""")
 def src_pdf_text(spark: Spark, sf_dir: str) -> DataFrame:
     from graphloom.sources.adapters import html_text
 
     return table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
 
 
-@query()
+_BROKEN = r"""SELECT -p_partkey AS doc_id, concat(p_name, CASE p_partkey % 6 WHEN 0 THEN '. . .PRESIDEN  REPUBLIK INDONESIA ' WHEN 1 THEN ' . . . ' WHEN 2 THEN ' - 12 - ' WHEN 3 THEN 'x. . .y' WHEN 4 THEN concat('. .', chr(10), 'presiden republik', chr(10), 'indonesia', chr(10)) ELSE '-7-' END, p_type) AS text FROM part"""
+
+
+def _with_breaks(spark: Spark, sf_dir: str) -> DataFrame:
+    """The documents, and names of parts with the page breaks that scans leave within running text."""
+    nth = F.col("p_partkey") % 6
+    broken = F.when(nth == 0, ". . .PRESIDEN  REPUBLIK INDONESIA ").when(nth == 1, " . . . ").when(nth == 2, " - 12 - ").when(nth == 3, "x. . .y").when(nth == 4, ". .\npresiden republik\nindonesia\n").otherwise("-7-")
+    parts = table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("doc_id"), F.concat("p_name", broken, "p_type").alias("text"))
+    return _docs(spark, sf_dir).unionByName(parts)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL {_BROKEN}),
+a AS (SELECT doc_id, regexp_replace(text, '(?i)\.\s*\.\s*\.?\s*PRESIDEN\s+REPUBLIK\s+INDONESIA\s*', '', 'g') AS t FROM d),
+b AS (SELECT doc_id, regexp_replace(t, '(^|[^0-9A-Za-z_.])\.\s+\.\s+\.([^0-9A-Za-z_]|$)', '\1\2', 'g') AS t FROM a)
+SELECT doc_id, regexp_replace(t, '\s*-\s*\d+\s*-\s*', ' ', 'g') AS text FROM b""")
 def strip_inline_artifacts(spark: Spark, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.strip_page_breaks("text").alias("text"))
+    return _with_breaks(spark, sf_dir).select("doc_id", T.strip_page_breaks("text").alias("text"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l, E' \t\n\r\x0b\x0c') = '' OR NOT regexp_matches(trim(l, E' \t\n\r\x0b\x0c'), '(?i)(?:^-?\s*\d+\s*-?\s*$)|(?:^www\.hukumonline\.com$)|(?:^Salinan$)|(?:^PRESIDEN\s+REPUBLIK\s+INDONESIA$)|(?:^LEMBARAN\s+NEGARA\s+REPUBLIK\s+INDONESIA$)|(?:^\s*\.{3,}\s*$)|(?:^TAMBAHAN\s+LEMBARAN\s+NEGARA)')),
@@ -124,7 +141,8 @@ def component_type_counts(spark: Spark, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).groupBy("document_id", "component_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(L + """, c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_no) AS ord FROM comp)
+SELECT document_id, ord, concat(CASE component_type WHEN 'BAB' THEN '' ELSE '      ' END, component_type, ' ', number, ' ', substring(content, 1, 60)) AS line FROM c WHERE component_type IN ('BAB', 'PASAL')""")
 def tree_print(spark: Spark, sf_dir: str) -> DataFrame:
     return structure.tree_lines(_parsed(spark, sf_dir), depth=4)
 
@@ -139,7 +157,24 @@ def collect_segments(spark: Spark, sf_dir: str) -> DataFrame:
     return structure.segments(_parsed(spark, sf_dir)).select("document_id", "component_id", "text")
 
 
-@query()
+_SLIDING = f"""WITH RECURSIVE lines AS (SELECT doc_id::VARCHAR AS d, unnest(range(0, len(ls))) AS ln, unnest(ls) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+s AS MATERIALIZED (SELECT d, concat(d, '-', ln) AS own, t, {_WORDS.format('t')} AS n, row_number() OVER (PARTITION BY d ORDER BY ln) AS r FROM lines WHERE trim(t, E' \\t\\n\\r\\x0b\\x0c') <> ''),
+f AS (SELECT d, 0::BIGINT AS r, '' AS buf, 0::BIGINT AS n, '' AS owner, NULL::VARCHAR AS piece, NULL::VARCHAR AS piece_owner, false AS cut FROM s WHERE r = 1
+  UNION ALL SELECT d, r, CASE WHEN fits OR (buf <> '' AND NOT enough) THEN joined WHEN buf <> '' THEN concat(tail, chr(10), chr(10), t) ELSE '' END,
+    CASE WHEN fits OR (buf <> '' AND NOT enough) THEN n + k WHEN buf <> '' THEN least(n, 76) + k ELSE 0 END,
+    CASE WHEN fits THEN CASE WHEN owner = '' THEN own ELSE owner END WHEN buf <> '' THEN own ELSE owner END,
+    CASE WHEN NOT fits AND buf <> '' AND enough THEN trim(buf, E' \\t\\n\\r\\x0b\\x0c') WHEN NOT fits AND buf = '' THEN t END, CASE WHEN NOT fits AND buf <> '' AND enough THEN owner WHEN NOT fits AND buf = '' THEN own END, NOT fits AND buf = ''
+  FROM (SELECT f.d, s.r, f.buf, f.n, f.owner, s.t, s.own, s.n AS k, floor((f.n + s.n) * 1.3::DOUBLE) <= 800 AS fits, floor(f.n * 1.3::DOUBLE) >= 400 AS enough,
+      CASE WHEN f.buf = '' THEN s.t ELSE trim(concat(f.buf, chr(10), chr(10), s.t), E' \\t\\n\\r\\x0b\\x0c') END AS joined,
+      array_to_string(list_filter(string_split_regex(f.buf, '\\s+'), lambda w: w <> '')[-76:], ' ') AS tail FROM f JOIN s ON s.d = f.d AND s.r = f.r + 1)),
+made AS (SELECT d, r, 0 AS part, piece AS text, piece_owner AS owner FROM f WHERE piece IS NOT NULL AND NOT cut
+  UNION ALL SELECT d, r, i // 539, array_to_string(w[i + 1 : i + 615], ' '), piece_owner FROM (SELECT d, r, piece_owner, w, unnest(range(0, len(w), 539)) AS i FROM (SELECT *, list_filter(string_split_regex(piece, '\\s+'), lambda w: w <> '') AS w FROM f WHERE cut))
+  UNION ALL SELECT d, r + 1, 0, trim(buf, E' \\t\\n\\r\\x0b\\x0c'), owner FROM f WHERE buf <> '' AND r = (SELECT max(s.r) FROM s WHERE s.d = f.d)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY r, part) - 1 AS i FROM made)
+SELECT d AS document_id, i::INT AS chunk_index, concat(d, '__chunk_', format('{{:03d}}', i)) AS chunk_id, text, floor({_WORDS.format('text')} * 1.3::DOUBLE)::INT AS token_count, owner, 'PASAL' AS owner_type, '1' AS pages FROM numbered"""
+
+
+@query(_SLIDING)
 def chunk_sliding(spark: Spark, sf_dir: str) -> DataFrame:
     return chunking.sliding(_segments(spark, sf_dir))
 
@@ -155,10 +190,24 @@ def tail_overlap(spark: Spark, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", chunking.tail("text").alias("text"))
 
 
-@query()
+_STRUCTURE = "WITH RECURSIVE" + LEGAL_SQL + f""", kids AS (SELECT parent_id AS pasal, string_agg(concat('(', number, ') ', content), chr(10) ORDER BY line_no) AS kids FROM comp WHERE component_type = 'AYAT' GROUP BY 1),
+art AS (SELECT document_id AS d, parent_id AS bab, page, concat('Pasal ', number, coalesce(chr(10) || kids, '')) AS t, row_number() OVER (PARTITION BY document_id ORDER BY line_no) AS r FROM comp LEFT JOIN kids ON pasal = component_id WHERE component_type = 'PASAL'),
+a AS MATERIALIZED (SELECT art.*, {_WORDS.format('t')} AS n, concat('[DOKUMEN: ', art.d, ']', chr(10), '[BAB: BAB ', (SELECT number FROM comp b WHERE b.component_id = bab), ' ', (SELECT text FROM legal WHERE legal.document_id = art.d AND legal.n = -1 AND legal.k = 2), ']', chr(10), '---', chr(10)) AS head FROM art),
+w AS MATERIALIZED (SELECT d, bab, any_value(head) AS head, {_WORDS.format('any_value(head)')} AS hn, concat(any_value(head), string_agg(t, chr(10) || chr(10) ORDER BY r)) AS whole, sum(n) AS n, string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) AS pages, max(r) AS last FROM a GROUP BY 1, 2),
+f AS (SELECT d, 0::BIGINT AS r, '' AS held, hn AS n, []::BIGINT[] AS pp, NULL::VARCHAR AS piece, NULL::BIGINT[] AS piece_pp FROM w WHERE floor((w.n + hn) * 1.3::DOUBLE) > 3000
+  UNION ALL SELECT f.d, a.r, CASE WHEN over THEN concat(chr(10), chr(10), a.t) ELSE concat(f.held, chr(10), chr(10), a.t) END, CASE WHEN over THEN w.hn + a.n ELSE f.n + a.n END, CASE WHEN over THEN [a.page] ELSE list_append(f.pp, a.page) END, CASE WHEN over THEN f.held END, CASE WHEN over THEN f.pp END
+  FROM (SELECT f.*, f.held <> '' AND floor((f.n + x.n) * 1.3::DOUBLE) > 3000 AS over FROM f JOIN a x ON x.d = f.d AND x.r = f.r + 1) f JOIN a ON a.d = f.d AND a.r = f.r + 1 JOIN w ON w.d = f.d),
+made AS (SELECT d, 0 AS r, whole AS text, (SELECT list(page) FROM a WHERE a.d = w.d) AS pp FROM w WHERE floor((w.n + hn) * 1.3::DOUBLE) <= 3000
+  UNION ALL SELECT f.d, r, concat(head, piece), piece_pp FROM f JOIN w ON w.d = f.d WHERE piece IS NOT NULL
+  UNION ALL SELECT f.d, r + 1, concat(head, held), pp FROM f JOIN w ON w.d = f.d WHERE r = last),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY r) - 1 AS i FROM made)
+SELECT d AS document_id, i::INT AS chunk_index, concat(d, '__struct_chunk_', format('{{:03d}}', i)) AS chunk_id, text, floor({_WORDS.format('text')} * 1.3::DOUBLE)::INT AS token_count, (SELECT bab FROM w WHERE w.d = numbered.d) AS owner, 'BAB' AS owner_type, array_to_string(list_sort(list_distinct(pp)), ',') AS pages FROM numbered"""
+
+
+@query(_STRUCTURE)
 def chunk_structure_aware(spark: Spark, sf_dir: str) -> DataFrame:
     rows = _parsed(spark, sf_dir)
-    return chunking.structure_aware(rows, structure.article_texts(rows), structure.by_section(rows))
+    return chunking.structure_aware(rows, structure.article_texts(rows))
 
 
 @query(L + """, t AS (SELECT document_id, parent_id AS root, component_id, 1 AS depth FROM comp WHERE parent_id IS NOT NULL)

@@ -137,7 +137,10 @@ def embed_text(spark: Spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.embed_text("source", "text").alias("text"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, md5(unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> ''))) AS h FROM documents),
+c AS (SELECT doc_id, ('0x' || substring(h, 1, 8))::UBIGINT % 16 AS k, sum(CASE WHEN substring(h, 9, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS v FROM w GROUP BY ALL),
+d AS (SELECT doc_id, k, coalesce(v, 0) AS v FROM (SELECT doc_id, unnest(range(0, 16))::UBIGINT AS k FROM documents) LEFT JOIN c USING (doc_id, k))
+SELECT doc_id, list((CASE WHEN s > 0 THEN v / s ELSE 0 END)::FLOAT ORDER BY k) AS embedding FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS s FROM d) GROUP BY doc_id""")
 def embed_batches(spark: Spark, sf_dir: str) -> DataFrame:
     from graphloom.operators.vectors import embedded
     from graphloom.sources.adapters import hashed_embedding

@@ -87,8 +87,8 @@ def hashed_embedding(dim: int) -> Callable[[list[str]], list[list[float]]]:
         for text in texts:
             v = [0.0] * dim
             for w in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
+                h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+                v[int(h[:8], 16) % dim] += 1.0 if h[8] >= "8" else -1.0
             size = sum(x * x for x in v) ** 0.5
             out.append([x / size for x in v] if size else v)
         return out
