@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions import text as T
@@ -48,15 +45,16 @@ def detected(rows: DataFrame, doc_col: str = "document_id", id_col: str = "compo
 
 
 def positions(rows: DataFrame, doc_col: str = "document_id", id_col: str = "component_id", text_col: str = "text") -> DataFrame:
-    """(document_id, component_id, pattern, match_position): where the matches begin, which no built-in function tells."""
-    rules = [(name, regex.compile(pattern, regex.IGNORECASE)) for name, pattern, _, _ in PATTERNS]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [(r.d, r.c, name, m.start()) for r in part.itertuples() for name, rule in rules for m in rule.finditer(r.t or "")]
-            yield pd.DataFrame(found, columns=["document_id", "component_id", "pattern", "match_position"])
-
-    return rows.select(F.col(doc_col).alias("d"), F.col(id_col).alias("c"), F.col(text_col).alias("t")).mapInPandas(run, "document_id string, component_id string, pattern string, match_position int")
+    """(document_id, component_id, pattern, match_position): where the matches begin, as the lengths of the pieces between
+    matches and of the matches before add up."""
+    parts = []
+    for name, pattern, _, _ in PATTERNS:
+        rule = "(?i)" + pattern
+        found = rows.where(F.col(text_col).rlike(rule)).select(F.col(doc_col).alias("document_id"), F.col(id_col).alias("component_id"), F.split(text_col, rule).alias("p"), F.regexp_extract_all(text_col, F.lit(rule), F.lit(0)).alias("m"))
+        upto = lambda column, n: F.length(F.array_join(F.slice(column, F.lit(1), n), ""))
+        places = F.transform("m", lambda _, i: upto("p", i + 1) + upto("m", i))
+        parts.append(found.select("document_id", "component_id", F.lit(name).alias("pattern"), F.explode(places).alias("match_position")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def summary(refs: DataFrame) -> DataFrame:

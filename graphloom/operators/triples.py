@@ -116,6 +116,30 @@ def versions(actions: DataFrame) -> DataFrame:
 
 
 def labelled_in_document(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, article, id): nodes of the document whose label names the article as whole words; joined by document, not crossed."""
-    hit = F.concat(F.lit(" "), F.lower("label"), F.lit(" ")).contains(F.concat(F.lit(" "), F.lower("article"), F.lit(" ")))
-    return wanted.select("doc", "article").distinct().join(nodes.select("doc", "id", "label"), "doc").where(hit).select("doc", "article", "id")
+    """(doc, article, id): nodes of the document whose label names the article as whole words, in any case.
+
+    Labels give a row for each run of as many words as some article has, and meet articles by document and words.
+    """
+    articles = wanted.select("doc", "article").distinct().withColumn("words", F.lower("article"))
+    lengths = sorted(r[0] for r in articles.select(F.size(F.split("words", " "))).distinct().collect())
+    if not lengths:
+        return articles.select("doc", "article", F.lit(None).cast("string").alias("id"))
+    words = nodes.where("label is not null").select("doc", "id", F.split(F.lower("label"), " ").alias("w"))
+    runs = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
+    phrases = words.select("doc", "id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("words"))
+    return articles.join(phrases, ["doc", "words"]).select("doc", "article", "id")
+
+
+def version_id(doc: Column, article: Column, version: Column) -> Column:
+    return F.concat(F.lit("VersiPasal_"), doc.cast("string"), F.lit("__"), F.replace(article, F.lit(" "), F.lit("_")), F.lit("_v"), version.cast("string"))
+
+
+def version_edges(actions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, type, dst): from the nodes that name a changed article, in the amended and in the amending document, to the
+    version of it there, and from the old version to the new one."""
+    changed = actions.where(F.col("action") == "MENGUBAH").select("amender", "amended", "article").distinct()
+    old, new = (version_id(F.col(doc), F.col("article"), F.lit(k)) for doc, k in (("amended", 1), ("amender", 2)))
+    there = versions(changed.withColumn("action", F.lit("MENGUBAH"))).distinct()
+    named = labelled_in_document(nodes, there).join(there, ["doc", "article"])
+    links = named.select(F.col("id").alias("src"), F.lit("MEMILIKI_VERSI").alias("type"), version_id(F.col("doc"), F.col("article"), F.col("version")).alias("dst"))
+    return links.unionByName(changed.select(old.alias("src"), F.lit("DIAMANDEMEN_MENJADI").alias("type"), new.alias("dst"))).distinct()

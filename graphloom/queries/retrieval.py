@@ -8,6 +8,7 @@ from graphloom.functions import text as T
 from graphloom.operators import retrieval
 from graphloom.operators.graph import GraphStore
 from graphloom.registry import query
+from graphloom.sources.cases import case_sql, case_text
 from graphloom.sources.legal_text import LEGAL_SQL, legal_lines
 from graphloom.sources.star_graph import GRAPH_SQL, star_graph
 from graphloom.sources.tables import table
@@ -71,9 +72,14 @@ def extract_citations(spark: Spark, sf_dir: str) -> DataFrame:
     return legal_lines(spark, sf_dir).select("document_id", F.col("line_no").cast("long"), F.array_join(T.citations("text"), "|").alias("cited"))
 
 
-@query("SELECT page_id, contains(upper(html), 'RETURN') AND length(html) - length(replace(html, '(', '')) = length(html) - length(replace(html, ')', '')) AND length(html) - length(replace(html, '[', '')) = length(html) - length(replace(html, ']', '')) AS ok FROM pages")
+_SHAPES = ("MATCH (n) RETURN n.{}", "match (n:`{}`)-[r]->(m) return m", "MATCH (n RETURN n", "MATCH (n)-[r->(m) RETURN r", "MATCH (n) WHERE n.label = '{}'", "RETURN", "")
+
+
+@query(f"""SELECT -p_partkey AS page_id, ({case_sql(("true", "true", "false", "false", "false", "true", "false"))})::BOOLEAN AS ok FROM part
+UNION ALL SELECT page_id, contains(upper(html), 'RETURN') AND length(html) - length(replace(html, '(', '')) = length(html) - length(replace(html, ')', '')) AND length(html) - length(replace(html, '[', '')) = length(html) - length(replace(html, ']', '')) AS ok FROM pages""")
 def query_shape_check(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.query_shape("html").alias("ok"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "html").unionByName(table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("page_id"), case_text(_SHAPES).alias("html")))
+    return rows.select("page_id", T.query_shape("html").alias("ok"))
 
 
 _FENCED = ("Sure:\n```cypher\n{}\n```\nDone", "```{}```", "```sql {} ```", "``` \n {}", "```cypher\n{}``", "  {}\n", "```plaintext\n\n{}\n\n``` and ```second```", "```{}")
@@ -81,8 +87,7 @@ _FENCED = ("Sure:\n```cypher\n{}\n```\nDone", "```{}```", "```sql {} ```", "```
 
 @query("SELECT p_partkey, CASE p_partkey % 8 WHEN 7 THEN '' ELSE p_name END AS q FROM part")
 def strip_code_fence(spark: Spark, sf_dir: str) -> DataFrame:
-    answer = F.get(F.array(*(F.replace(F.lit(x), F.lit("{}"), F.col("p_name")) for x in _FENCED)), (F.col("p_partkey") % 8).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.without_fence(answer).alias("q"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.without_fence(case_text(_FENCED)).alias("q"))
 
 
 @query("SELECT coalesce(source, 'Lainnya') AS name, count(*) AS n, CASE coalesce(source, 'Lainnya') WHEN 'src1' THEN 0 WHEN 'src0' THEN 1 ELSE 2 END AS place FROM documents GROUP BY source")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.functions import text as T
 from graphloom.operators import chunking, references, structure
 from graphloom.registry import query
+from graphloom.sources.cases import RULE_BOOK_SQL, case_sql, case_text, rule_book
 from graphloom.sources.legal_text import LEGAL_SQL, legal_lines
 from graphloom.sources.tables import table
 
@@ -33,9 +34,14 @@ def _doc_lines(spark: Spark, sf_dir: str) -> DataFrame:
     return structure.page_lines(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text"))
 
 
-@query("""SELECT page_id, length(trim(t, E' \\t\\n\\r\\x0b\\x0c')) < 50 AS scanned FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM pages)""")
+_PAGES = ("<p>{}</p>", "<p>" + "long enough " * 5 + "{}</p>", "", "  <b> </b> <i>{}</i>")
+
+
+@query(f"""WITH p AS (SELECT page_id, html FROM pages UNION ALL SELECT -p_partkey, {case_sql(_PAGES)} FROM part)
+SELECT page_id, length(trim(t, E' \\t\\n\\r\\x0b\\x0c')) < 50 AS scanned FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM p)""")
 def scanned_page_flag(spark: Spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.is_scanned(F.regexp_replace("html", "<[^>]*>", "")).alias("scanned"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "html").unionByName(table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("page_id"), case_text(_PAGES).alias("html")))
+    return rows.select("page_id", T.is_scanned(F.regexp_replace("html", "<[^>]*>", "")).alias("scanned"))
 
 
 @query("SELECT page_id, length(CASE WHEN length(url) % 2 = 0 THEN url ELSE coalesce(html, '') END)::INT AS n FROM pages")
@@ -73,10 +79,15 @@ def strip_inline_artifacts(spark: Spark, sf_dir: str) -> DataFrame:
     return _with_breaks(spark, sf_dir).select("doc_id", T.strip_page_breaks("text").alias("text"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l, E' \t\n\r\x0b\x0c') = '' OR NOT regexp_matches(trim(l, E' \t\n\r\x0b\x0c'), '(?i)(?:^-?\s*\d+\s*-?\s*$)|(?:^www\.hukumonline\.com$)|(?:^Salinan$)|(?:^PRESIDEN\s+REPUBLIK\s+INDONESIA$)|(?:^LEMBARAN\s+NEGARA\s+REPUBLIK\s+INDONESIA$)|(?:^\s*\.{3,}\s*$)|(?:^TAMBAHAN\s+LEMBARAN\s+NEGARA)')),
+_FURNITURE = ("{}\n- 7 -\nnext", "Salinan\n{}\nSALINAN\n salinan \nSalinan lain", "{}\nPRESIDEN  REPUBLIK INDONESIA\nwww.hukumonline.com\n.....\n..\n", "LEMBARAN NEGARA REPUBLIK INDONESIA\nTAMBAHAN  LEMBARAN NEGARA Nomor 5\n{}", " 12 \n  \n{} 12\n12 {}")
+_UNFURNISHED = ("{}\nnext", "{}\nSalinan lain", "{}\n..\n", "{}", "\n{} 12\n12 {}")
+
+
+@query(f"SELECT -p_partkey AS doc_id, {case_sql(_UNFURNISHED)} AS text FROM part UNION ALL " + r"""SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l, E' \t\n\r\x0b\x0c') = '' OR NOT regexp_matches(trim(l, E' \t\n\r\x0b\x0c'), '(?i)(?:^-?\s*\d+\s*-?\s*$)|(?:^www\.hukumonline\.com$)|(?:^Salinan$)|(?:^PRESIDEN\s+REPUBLIK\s+INDONESIA$)|(?:^LEMBARAN\s+NEGARA\s+REPUBLIK\s+INDONESIA$)|(?:^\s*\.{3,}\s*$)|(?:^TAMBAHAN\s+LEMBARAN\s+NEGARA)')),
   lambda l: CASE WHEN trim(l, E' \t\n\r\x0b\x0c') = '' THEN '' ELSE l END), chr(10)) AS text FROM documents""")
 def strip_header_lines(spark: Spark, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.strip_furniture("text").alias("text"))
+    rows = _docs(spark, sf_dir).unionByName(table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("doc_id"), case_text(_FURNITURE).alias("text")))
+    return rows.select("doc_id", T.strip_furniture("text").alias("text"))
 
 
 @query(r"""SELECT doc_id, trim(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda l: trim(l, E' \t\n\r\x0b\x0c')), chr(10)), E' \t\n\r\x0b\x0c') AS text FROM documents""")
@@ -84,16 +95,23 @@ def normalize_whitespace(spark: Spark, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.normalize_whitespace("text").alias("text"))
 
 
-@query("""SELECT c_custkey, concat('UU_', c_custkey, '_2008') AS document_id, concat(c_custkey, '/2008') AS number, 2008 AS year FROM customer""")
+_NAMES = ("UU Nomor {} Tahun 2008", "POJK {}-POJK.03-2022 salinan", "PP No. {} Tahun 2012", "Perpres Nomor {} Tahun 2022", "Permen Kominfo No {} Tahun 2017", "UU-{}-2016", "catatan (final) {}.v2")
+_NAMED = (("UU_{}_2008", "{}/2008", "2008"), ("POJK_{}_2022", "{}/2022", "2022"), ("PP_{}_2012", "{}/2012", "2012"), ("Perpres_{}_2022", "{}/2022", "2022"), ("Permen_Kominfo_{}_2017", "{}/2017", "2017"), ("UU_{}_2016", "{}/2016", "2016"), ("catatan_final_{}_v2", "unknown", "0"))
+
+
+@query("SELECT c_custkey, {} AS document_id, {} AS number, ({})::INT AS year FROM customer".format(*(case_sql(x, "c_custkey", "c_custkey") for x in zip(*_NAMED, strict=True))))
 def parse_filename_metadata(spark: Spark, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("UU Nomor "), F.col("c_custkey").cast("string"), F.lit(" Tahun 2008"))
-    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")).select("c_custkey", *(c.alias(k) for k, c in T.file_metadata("name").items()))
+    names = table(spark, sf_dir, "customer").select("c_custkey", case_text(_NAMES, "c_custkey", "c_custkey").alias("name"))
+    return names.select("c_custkey", *(c.alias(k) for k, c in T.file_metadata("name").items()))
+
+
+_FIRST_PAGES = ("UNDANG-UNDANG REPUBLIK INDONESIA\nNOMOR 1\nTENTANG\n{}\nmore", "Peraturan Otoritas Jasa Keuangan\nNomor 1\nTentang {}", "KEPUTUSAN\nTENTANG {}")
 
 
-@query("""SELECT r_regionkey, concat('Undang-Undang Nomor 1/2000 tentang ', r_name) AS title FROM region""")
+@query(f"""SELECT n_nationkey, {case_sql(("Undang-Undang Nomor 1/2000 tentang {}", "POJK Nomor 1/2000 tentang {}", "none"), "n_nationkey", "n_name")} AS title FROM nation""")
 def title_extract(spark: Spark, sf_dir: str) -> DataFrame:
-    page = F.concat(F.lit("UNDANG-UNDANG REPUBLIK INDONESIA\nNOMOR 1\nTENTANG\n"), F.col("r_name"), F.lit("\nmore"))
-    return table(spark, sf_dir, "region").select("r_regionkey", T.title(page, F.lit("1/2000"), F.lit("none")).alias("title"))
+    page = case_text(_FIRST_PAGES, "n_nationkey", "n_name")
+    return table(spark, sf_dir, "nation").select("n_nationkey", T.title(page, F.lit("1/2000"), F.lit("none")).alias("title"))
 
 
 @query("""SELECT doc_id::VARCHAR AS document_id, (unnest(range(0, len(string_split(text, chr(10))))))::BIGINT AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents""")
@@ -101,9 +119,23 @@ def merge_pages_to_lines(spark: Spark, sf_dir: str) -> DataFrame:
     return _doc_lines(spark, sf_dir).select("document_id", F.col("line_no").cast("long"), "text")
 
 
-@query("SELECT document_id, min(line_no)::BIGINT AS start FROM (SELECT doc_id::VARCHAR AS document_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE t = 'PENJELASAN' GROUP BY 1")
+_EXPLAINED = ("{}\nPENJELASAN\nATAS", "{}\nisi\n  penj.lasan \nx\ny\nPERATURAN", "{}\nPENJELASAN\nx\ny\nz\nATAS", "PENJELASAN {}\nATAS", "{}\nPENJEIASN\nundang-undang\nPENJELASAN\nATAS", "{}\nPENGELASAN\nATAS")
+
+
+@query(f"""SELECT concat('part-', p_partkey) AS document_id, ({case_sql(("1", "2", None, None, "1", None))})::BIGINT AS start FROM part WHERE p_partkey % 6 IN (0, 1, 4)
+UNION ALL SELECT document_id, min(line_no)::BIGINT AS start FROM (SELECT doc_id::VARCHAR AS document_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE t = 'PENJELASAN' GROUP BY 1""")
 def explanation_boundary(spark: Spark, sf_dir: str) -> DataFrame:
-    return structure.explanation_start(_doc_lines(spark, sf_dir)).select("document_id", F.col("start").cast("long"))
+    made = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("document_id"), F.lit(1).alias("page_number"), case_text(_EXPLAINED).alias("text"))
+    return structure.explanation_start(_doc_lines(spark, sf_dir).unionByName(structure.page_lines(made))).select("document_id", F.col("start").cast("long"))
+
+
+_BOOK_ID = "concat(document_id, '__', {})"
+
+
+@query(f"WITH {RULE_BOOK_SQL} SELECT document_id, ord, component_type, number, title, {_BOOK_ID.format('id')} AS component_id, CASE WHEN parent IS NOT NULL THEN {_BOOK_ID.format('parent')} END AS parent_id, content, is_explanation FROM book")
+def rule_book_components(spark: Spark, sf_dir: str) -> DataFrame:
+    rows = structure.components(rule_book(spark, sf_dir))
+    return rows.select("document_id", F.col("ord").cast("int").alias("ord"), "component_type", "number", "title", "component_id", "parent_id", F.coalesce("content", F.lit("")).alias("content"), "is_explanation")
 
 
 @query(L + "SELECT document_id, line_no, CASE WHEN n = -1 AND k = 1 THEN 'BAB' WHEN n >= 0 AND k = -1 THEN 'PASAL' WHEN n >= 0 THEN 'AYAT' END AS kind FROM legal")
@@ -216,9 +248,10 @@ def descendants(spark: Spark, sf_dir: str) -> DataFrame:
     return structure.descendants(_parsed(spark, sf_dir))
 
 
-@query(L + "SELECT document_id, component_id, '' AS section FROM comp WHERE component_type = 'PASAL'")
+@query(L + f""", {RULE_BOOK_SQL} SELECT document_id, component_id, '' AS section FROM comp WHERE component_type = 'PASAL'
+UNION ALL SELECT document_id, {_BOOK_ID.format('id')}, CASE id WHEN 'PASAL_1' THEN 'Kesatu Umum' ELSE '' END FROM book WHERE component_type = 'PASAL'""")
 def group_by_section(spark: Spark, sf_dir: str) -> DataFrame:
-    return structure.by_section(_parsed(spark, sf_dir))
+    return structure.by_section(structure.components(legal_lines(spark, sf_dir).unionByName(rule_book(spark, sf_dir))))
 
 
 @query(L + """, k AS (SELECT parent_id, string_agg(concat('(', number, ') ', content), chr(10) ORDER BY line_no) AS kids FROM comp WHERE component_type = 'AYAT' GROUP BY 1)
@@ -238,6 +271,25 @@ def clean_ocr_number(spark: Spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.clean_ocr_number("p_name").alias("digits"))
 
 
+_CITING = (
+    "menurut Undang-Undang Nomor 11 Tahun 2008 {}", "UNDANG UNDANG No. 19a Tahun 2016; {}", "{} Peraturan Pemerintah Nomor 71 Tahun 2019", "Peraturan  Presiden No 95 Tahun 2018 {}", "{}: Peraturan Menteri Kominfo Nomor 5 Tahun 2020.",
+    "Ketentuan Pasal 27 diubah {}", "Pasal 45A tetap dengan perubahan {}", "Di antara Pasal 45 dan Pasal 46 disisipkan {}", "Pasal 54 dihapus, Pasal 55 dihapus {}", "sebagaimana dimaksud pada Pasal 28B {}", "tanpa rujukan {}",
+)
+#: What each text holds: (turn, pattern, type, prefix, number, year, text, place); without a place it stands after the name and one or two signs.
+_CITED = (
+    (0, "UU_REF", "MERUJUK_DOKUMEN", "UU", "11", "2008", "Undang-Undang Nomor 11 Tahun 2008", 8), (1, "UU_REF", "MERUJUK_DOKUMEN", "UU", "19a", "2016", "UNDANG UNDANG No. 19a Tahun 2016", 0),
+    (2, "PP_REF", "MERUJUK_DOKUMEN", "PP", "71", "2019", "Peraturan Pemerintah Nomor 71 Tahun 2019", None), (3, "PERPRES_REF", "MERUJUK_DOKUMEN", "Perpres", "95", "2018", "Peraturan  Presiden No 95 Tahun 2018", 0),
+    (4, "PERMEN_REF", "MERUJUK_DOKUMEN", "Permen", "5", "2020", "Peraturan Menteri Kominfo Nomor 5 Tahun 2020", None), (5, "AMEND_UBAH", "MENGUBAH_PASAL", None, "27", None, "Ketentuan Pasal 27 diubah", 0),
+    (6, "AMEND_UBAH", "MENGUBAH_PASAL", None, "45A", None, "Pasal 45A tetap dengan perubahan", 0), (7, "AMEND_SISIP", "MENYISIPKAN_PASAL", None, "45", "46", "Di antara Pasal 45 dan Pasal 46 disisipkan", 0),
+    (8, "AMEND_HAPUS", "MENGHAPUS_PASAL", None, "54", None, "Pasal 54 dihapus", 0), (8, "AMEND_HAPUS", "MENGHAPUS_PASAL", None, "55", None, "Pasal 55 dihapus", 18), (9, "INTERNAL_PASAL_REF", "MERUJUK_PASAL", None, "28B", None, "sebagaimana dimaksud pada Pasal 28B", 0),
+)
+
+
+def _citing(spark: Spark, sf_dir: str) -> DataFrame:
+    """(document_id, component_id, text): names of parts in texts that cite in every way."""
+    return table(spark, sf_dir, "part").select(F.lit("parts").alias("document_id"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("component_id"), case_text(_CITING).alias("text"))
+
+
 def _refs(spark: Spark, sf_dir: str) -> DataFrame:
     lines = legal_lines(spark, sf_dir).withColumn("component_id", F.concat_ws("-", "document_id", "line_no"))
     return references.detected(lines)
@@ -247,15 +299,20 @@ _REFS = """, refs AS (SELECT document_id, concat(document_id, '-', line_no) AS c
   UNION ALL SELECT document_id, concat(document_id, '-', line_no), 'MERUJUK_PASAL', 'INTERNAL_PASAL_REF', NULL, (n + 1)::VARCHAR, NULL, concat('sebagaimana dimaksud dalam Pasal ', n + 1) FROM legal WHERE n >= 0 AND k >= 0)"""
 
 
-@query(L + _REFS + "SELECT * FROM refs")
+_CITED_SQL = "(VALUES {}) AS v(k, pattern, type, prefix, number, year, source_text, place) JOIN part ON p_partkey % {} = k".format(", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in row) + ")" for row in _CITED), len(_CITING))
+
+
+@query(L + _REFS + f"SELECT * FROM refs UNION ALL SELECT 'parts', concat('part-', p_partkey), type, pattern, prefix, number, year::VARCHAR, source_text FROM {_CITED_SQL}")
 def detect_references(spark: Spark, sf_dir: str) -> DataFrame:
-    return _refs(spark, sf_dir)
+    return _refs(spark, sf_dir).unionByName(references.detected(_citing(spark, sf_dir)))
 
 
-@query(L + """SELECT document_id, concat(document_id, '-', line_no) AS component_id, 'UU_REF' AS pattern, (position('Undang' IN text) - 1)::INT AS match_position FROM legal WHERE n >= 0 AND k >= 0
-UNION ALL SELECT document_id, concat(document_id, '-', line_no), 'INTERNAL_PASAL_REF', (position('sebagaimana' IN text) - 1)::INT FROM legal WHERE n >= 0 AND k >= 0""")
+@query(L + f"""SELECT document_id, concat(document_id, '-', line_no) AS component_id, 'UU_REF' AS pattern, (position('Undang' IN text) - 1)::INT AS match_position FROM legal WHERE n >= 0 AND k >= 0
+UNION ALL SELECT document_id, concat(document_id, '-', line_no), 'INTERNAL_PASAL_REF', (position('sebagaimana' IN text) - 1)::INT FROM legal WHERE n >= 0 AND k >= 0
+UNION ALL SELECT 'parts', concat('part-', p_partkey), pattern, coalesce(place, length(p_name) + k // 2)::INT FROM {_CITED_SQL}""")
 def reference_positions(spark: Spark, sf_dir: str) -> DataFrame:
-    return references.positions(legal_lines(spark, sf_dir).withColumn("component_id", F.concat_ws("-", "document_id", "line_no")))
+    lines = legal_lines(spark, sf_dir).select("document_id", F.concat_ws("-", "document_id", "line_no").alias("component_id"), "text")
+    return references.positions(lines.unionByName(_citing(spark, sf_dir)))
 
 
 @query(L + _REFS + "SELECT component_id, concat(prefix, '_', number, '_', year) AS target_doc_id, concat(prefix, '_', number, '_', year) IN (SELECT document_id FROM legal WHERE document_id <> 'UU_3_2000') AS is_known FROM refs WHERE prefix IS NOT NULL")

@@ -186,9 +186,21 @@ def amended_article_edges(spark: Spark, sf_dir: str) -> DataFrame:
     return triples.labelled_in_document(*_named(spark, sf_dir))
 
 
-@query(_NAMED)
+_SECTIONS = """, s AS (SELECT DISTINCT doc, size, concat('Pasal ', size, ' ayat (', ln, ')') AS label, concat('node:', doc, ':', size, ':', ln) AS id FROM (
+  SELECT l_suppkey AS doc, p_size AS size, l_linenumber AS ln FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2 UNION ALL SELECT o_custkey, p_size, 9 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1))"""
+
+
+@query(_ACTIONS + _SECTIONS + """, c AS (SELECT DISTINCT amender, amended, article, replace(article, ' ', '_') AS name FROM a WHERE action = 'MENGUBAH')
+SELECT DISTINCT s.id AS src, 'MEMILIKI_VERSI' AS type, concat('VersiPasal_', amended, '__', name, '_v1') AS dst FROM c JOIN s ON s.doc = amended AND concat('Pasal ', s.size) = article
+UNION SELECT s.id, 'MEMILIKI_VERSI', concat('VersiPasal_', amender, '__', name, '_v2') FROM c JOIN s ON s.doc = amender AND concat('Pasal ', s.size) = article
+UNION SELECT concat('VersiPasal_', amended, '__', name, '_v1'), 'DIAMANDEMEN_MENJADI', concat('VersiPasal_', amender, '__', name, '_v2') FROM c""")
 def link_versions(spark: Spark, sf_dir: str) -> DataFrame:
-    return triples.labelled_in_document(*_named(spark, sf_dir))
+    t = lambda name: table(spark, sf_dir, name)
+    lines = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    of = lambda rows, doc, nth: rows.select(F.col(doc).alias("doc"), F.col("p_size").alias("size"), nth.alias("ln"))
+    sections = of(lines.where("l_linenumber <= 2"), "l_suppkey", F.col("l_linenumber")).unionByName(of(lines.where("l_linenumber = 1").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")), "o_custkey", F.lit(9))).distinct()
+    nodes = sections.select("doc", F.concat_ws(":", F.lit("node"), "doc", "size", "ln").alias("id"), F.concat(F.lit("Pasal "), F.col("size"), F.lit(" ayat ("), F.col("ln"), F.lit(")")).alias("label"))
+    return triples.version_edges(_actions(spark, sf_dir), nodes)
 
 
 @query("SELECT doc, article, id FROM (SELECT *, row_number() OVER (PARTITION BY doc, article ORDER BY id) AS rn FROM (" + _NAMED + ")) WHERE rn = 1")
