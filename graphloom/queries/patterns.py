@@ -25,6 +25,13 @@ QUESTIONS = {
     "pattern_collect": ("MATCH (r:Region)-[:CONTAINS]->(n:Nation) RETURN r.label AS r, size(collect(DISTINCT n.label)) AS n, head(collect(n.label)) AS first", "SELECT r.label AS r, count(DISTINCT n.label)::INT AS n, min(n.label) AS first FROM edges e JOIN nodes r ON r.id = e.src AND r.type = 'Region' JOIN nodes n ON n.id = e.dst GROUP BY 1"),
     "pattern_where": ("MATCH (c:Customer) WHERE (c.content = 'BUILDING' OR toLower(c.label) CONTAINS '7') AND c.doc IS NOT NULL AND NOT c.doc = '0' RETURN c.id AS id, coalesce(c.content, '-') AS segment, substring(c.label, 0, 8) AS short", "SELECT id, coalesce(content, '-') AS segment, substring(label, 1, 8) AS short FROM nodes WHERE type = 'Customer' AND (content = 'BUILDING' OR contains(lower(label), '7')) AND doc IS NOT NULL AND doc <> '0'"),
     "pattern_top": ("MATCH (n:Nation)-[:CONTAINS]->(c:Customer) RETURN n.label AS n, count(*) AS k ORDER BY k DESC, n LIMIT 5", "SELECT n.label AS n, count(*) AS k FROM edges e JOIN nodes n ON n.id = e.src AND n.type = 'Nation' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
+    "pattern_label_or": ("MATCH (n) WHERE (n:Region OR n:Nation) AND n.label STARTS WITH 'A' RETURN n.label AS label, labels(n) AS labels", "SELECT label, ['Entity', type] AS labels FROM nodes WHERE type IN ('Region', 'Nation') AND starts_with(label, 'A')"),
+    "pattern_label_counts": ("MATCH (n) WITH labels(n) AS names, count(n) AS k UNWIND names AS name RETURN name AS label, sum(k) AS n ORDER BY n DESC", "SELECT label, sum(n)::BIGINT AS n FROM (SELECT type AS label, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'Entity', count(*) FROM nodes) GROUP BY 1"),
+    "pattern_with_limit": ("MATCH (n:Nation) WITH n ORDER BY n.label LIMIT 7 OPTIONAL MATCH (n)-[:CONTAINS]->(c:Customer) WHERE c.content = 'BUILDING' WITH n, count(c) AS k, collect(DISTINCT {segment: c.content, doc: c.source_document_id}) AS found RETURN n.label AS n, k, [m IN found | m.segment] AS segments, [m IN found | m.doc] AS docs", "SELECT n.label AS n, count(c.id) AS k, [CASE WHEN count(c.id) > 0 THEN 'BUILDING' END] AS segments, [any_value(c.doc)] AS docs FROM (SELECT * FROM nodes WHERE type = 'Nation' ORDER BY label LIMIT 7) n LEFT JOIN edges e ON e.src = n.id AND e.type = 'CONTAINS' LEFT JOIN nodes c ON c.id = e.dst AND c.content = 'BUILDING' GROUP BY 1"),
+    "pattern_case": ("MATCH (c:Customer) RETURN c.id AS id, CASE WHEN c.content STARTS WITH 'AUTO' THEN 'car' WHEN c.content = 'BUILDING' THEN 'house' ELSE coalesce(c.short_name, 'else') END AS kind, CASE c.node_type WHEN 'Customer' THEN 'yes' END AS sure, c.status AS status", "SELECT id, CASE WHEN starts_with(content, 'AUTO') THEN 'car' WHEN content = 'BUILDING' THEN 'house' ELSE 'else' END AS kind, 'yes' AS sure, NULL::VARCHAR AS status FROM nodes WHERE type = 'Customer'"),
+    "pattern_list_concat": ("MATCH (r:Region) OPTIONAL MATCH (r)-[:CONTAINS]->(n:Nation) OPTIONAL MATCH (n)<-[:LOCATED_IN]-(s:Supplier) WITH r, collect(DISTINCT n) + collect(DISTINCT s) AS found UNWIND found AS x WITH r, x WHERE x.label CONTAINS '1' OR x:Nation RETURN r.label AS r, x.label AS x, x.id AS id", "SELECT r.label AS r, n.label AS x, n.id FROM nodes r JOIN edges e ON e.src = r.id AND e.type = 'CONTAINS' JOIN nodes n ON n.id = e.dst WHERE r.type = 'Region' UNION SELECT r.label, s.label, s.id FROM nodes r JOIN edges e ON e.src = r.id AND e.type = 'CONTAINS' JOIN edges f ON f.dst = e.dst AND f.type = 'LOCATED_IN' JOIN nodes s ON s.id = f.src WHERE r.type = 'Region' AND contains(s.label, '1')"),
+    "pattern_path": ("MATCH p = (r:Region {label: 'ASIA'})-[:CONTAINS*1..2]->(x) WHERE length(p) = 1 OR x.content = 'BUILDING' RETURN [n IN nodes(p) | n.label] AS labels, [e IN relationships(p) | type(e)] AS types, [n IN nodes(p) WHERE n.content IS NOT NULL | n.content] AS contents", "SELECT [r.label, n.label] AS labels, ['CONTAINS'] AS types, []::VARCHAR[] AS contents FROM nodes r JOIN edges e ON e.src = r.id AND e.type = 'CONTAINS' JOIN nodes n ON n.id = e.dst WHERE r.label = 'ASIA' UNION ALL SELECT [r.label, n.label, c.label], ['CONTAINS', 'CONTAINS'], [c.content] FROM nodes r JOIN edges e ON e.src = r.id AND e.type = 'CONTAINS' JOIN nodes n ON n.id = e.dst JOIN edges f ON f.src = n.id AND f.type = 'CONTAINS' JOIN nodes c ON c.id = f.dst AND c.content = 'BUILDING' WHERE r.label = 'ASIA'"),
+    "pattern_edge_ends": ("MATCH (a:Supplier)-[e:LOCATED_IN]->(b) WHERE b.label <> 'WITH } MATCH' RETURN elementId(startNode(e)) AS a, endNode(e).id AS b, [a.label, b.label] AS both", "SELECT e.src AS a, e.dst AS b, [s.label, n.label] AS both FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes n ON n.id = e.dst WHERE e.type = 'LOCATED_IN'"),
     "run_query_text": ("MATCH (n:Region) RETURN n.label AS label ORDER BY label", "SELECT label FROM nodes WHERE type = 'Region'"),
 }
 
