@@ -20,6 +20,20 @@ def split_by_hash(rows: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     return out.drop("__h", "__p", "__n", "__before", "__total")
 
 
+def ranked_ids(rows: DataFrame, group: str, key: str, span: int = 4096) -> DataFrame:
+    """(group, key, i): the place of each row's whole number ``key`` within its group, from 0.
+
+    It is the count of the spans of numbers before and the rank within the span: no task orders a whole group.
+    """
+    ids = rows.select(group, key, F.floor(F.col(key) / span).alias("__s"))
+    counts = ids.groupBy(group, "__s").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(group).alias("__g"), F.col("__s").alias("__t"), before.alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(group, "__s").orderBy(key)) - 1
+    placed = ids.withColumn("__rank", rank).join(counts, F.col(group).eqNullSafe(F.col("__g")) & F.col("__s").eqNullSafe(F.col("__t")))
+    return placed.select(group, key, (F.col("__before") + F.col("__rank")).alias("i"))
+
+
 def filled_templates(templates: DataFrame, entities: DataFrame, most: int) -> DataFrame:
     """(question, query, category) for templates (type, question, query, category) with {label} and the first labels of their type."""
     first = entities.withColumn("rn", F.row_number().over(Window.partitionBy("type").orderBy("label"))).where(F.col("rn") <= most)

@@ -28,12 +28,13 @@ class GraphStore:
         labels = by_type.select(F.explode("labels").alias("name"), "n")
         if not base_label:
             labels = labels.where(F.col("name") != "Entity")
+        by_edge = edges.groupBy("type").agg(F.count("*").alias("n"))
         count = F.sum("n").cast("long").alias("n")
         parts = [
             labels.groupBy("name").agg(count).select(F.lit("label").alias("kind"), "name", "n"),
-            edges.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), F.col("type").alias("name"), "n"),
+            by_edge.select(F.lit("edge").alias("kind"), F.col("type").alias("name"), "n"),
             by_type.agg(F.coalesce(count, F.lit(0)).alias("n")).select(F.lit("total").alias("kind"), F.lit("nodes").alias("name"), "n"),
-            edges.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit("edges").alias("name"), "n"),
+            by_edge.agg(F.coalesce(count, F.lit(0)).alias("n")).select(F.lit("total").alias("kind"), F.lit("edges").alias("name"), "n"),
         ]
         return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -71,15 +72,19 @@ class GraphStore:
         return out.unionByName(into).distinct()
 
     def khop(self, start: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-        """(nodes with hop, induced edges) around the nodes (id), up to three undirected steps. A node without edges is found, too."""
+        """(nodes with hop, induced edges) around the nodes (id), up to three undirected steps. A node without edges is found, too.
+
+        The edges are written once, as each step reads them in both directions.
+        """
+        own = GraphStore(self.nodes, written(self.edges.select("src", "type", "dst"), "edges"))
         seen = start.select("id").distinct().withColumn("hop", F.lit(0))
         front = seen.select("id")
         for hop in range(1, min(depth, 3) + 1):
             # Written, as three later plans read it; else each hop would run again within them.
-            front = written(self.neighbours(front).join(seen.select("id"), "id", "left_anti"), "front")
+            front = written(own.neighbours(front).join(seen.select("id"), "id", "left_anti"), "front")
             seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
         ids = seen.select("id")
-        edges = self.edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+        edges = own.edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
         return seen, edges.select("src", "type", "dst")
 
     def induced(self, types: list[str], docs: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -96,11 +101,13 @@ class GraphStore:
 
     def lookup(self, labels: DataFrame) -> DataFrame:
         """(wanted, id): for each wanted label the node whose label equals it or begins with it, in any case; equal first, then by id."""
-        # Both compare by prefix: a join on the first word keeps it an equi-join, whatever the number of labels.
-        word = lambda c: F.lower(F.substring_index(c, " ", 1))
-        pairs = labels.withColumn("w", word(F.col("wanted"))).join(self.nodes.select("id", "label", word(F.col("label")).alias("w")), "w").where(F.startswith(F.lower("label"), F.lower("wanted")))
-        best = Window.partitionBy("wanted").orderBy(F.length("label") - F.length("wanted"), "id")
-        return pairs.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("wanted", "id")
+        # A label gives one key for each length that is wanted: an equi-join that gives nothing but matches, whatever labels share.
+        wanted = labels.where("wanted is not null").select("wanted", F.lower("wanted").alias("key")).distinct()
+        lengths = sorted(r[0] for r in wanted.select(F.length("key")).distinct().collect())
+        low = self.nodes.select("id", F.lower("label").alias("l"))
+        keys = low.select("id", F.length("l").alias("n"), F.explode(F.transform(F.filter(F.lit(lengths).cast("array<int>"), lambda k: k <= F.length("l")), lambda k: F.col("l").substr(F.lit(1), k))).alias("key"))
+        best = keys.join(wanted, "key").groupBy("wanted").agg(F.min(F.struct((F.col("n") - F.length("key")).alias("rest"), "id")).alias("m"))
+        return best.select("wanted", F.col("m.id").alias("id"))
 
     def hierarchy(self, root: str, edge_type: str, depth: int) -> DataFrame:
         """(id, level, parent) below a node along one edge type; each level a join, cycles end with the depth."""

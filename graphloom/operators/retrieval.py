@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators.graph import GraphStore
+from graphloom.plans.scratch import written
+from graphloom.plans.sizes import broadcast_if_small
 
 
 def search_terms(questions: DataFrame) -> DataFrame:
@@ -20,14 +22,21 @@ def multi_search(questions: DataFrame, store: GraphStore, most: int = 10) -> Dat
     """(question_id, id, nth): what the terms find, each node once, by strategy and rank; pairs of words count only where
     the other strategies found less than three. The 5 (keywords) or 3 nodes of the least id are taken of each term.
 
-    A text that holds a term holds the term's three-letter parts, so terms meet nodes by their first part, and are then
-    looked for as a whole: a join by key, whatever the number of questions.
+    A text that holds a term holds the term's three-letter parts, so terms meet nodes by the part that the fewest nodes have,
+    and are then looked for as a whole: a join by key, whatever the number of questions. The parts that terms have are
+    sent to the nodes where they are few, so that no other part of a text is shuffled.
     """
     terms = search_terms(questions).where(F.length("term") > 2)
-    distinct = terms.select(F.lower("term").alias("t")).distinct().withColumn("part", F.substring("t", 1, 3))
+    of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.col(c).substr(i, F.lit(3))))
+    asked = written(terms.select(F.lower("term").alias("t")).distinct().select("t", F.explode(of("t")).alias("part")), "term-parts")
     text = store.nodes.select("id", F.lower(F.concat_ws("\n", "label", "content")).alias("body")).where(F.length("body") > 2)
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("body") - 2), lambda i: F.col("body").substr(i, F.lit(3))))
-    hits = text.withColumn("part", F.explode(parts)).join(distinct, "part").where(F.contains("body", "t"))
+    parts = text.withColumn("part", F.explode(of("body")))
+    counts = parts.select("part").join(broadcast_if_small(asked.select("part").distinct()), "part").groupBy("part").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "part").groupBy("t").agg(F.min(F.struct("n", "part"))["part"].alias("part"))
+    # A part of a term that no text has leaves the term without a match: such terms are not looked for.
+    missing = asked.join(counts, "part", "left_anti").select("t").distinct()
+    rarest = written(rarest.join(missing, "t", "left_anti"), "rarest-parts")
+    hits = parts.join(broadcast_if_small(rarest), "part").where(F.contains("body", "t"))
     first = Window.partitionBy("t").orderBy("id")
     hits = hits.withColumn("n", F.row_number().over(first)).where("n <= 5").select("t", "id", "n")
     found = terms.withColumn("t", F.lower("term")).join(hits, "t").where((F.col("strategy") == 1) | (F.col("n") <= 3))

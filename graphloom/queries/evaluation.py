@@ -34,7 +34,8 @@ def train_val_split(spark: Spark, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents WHERE length(text) > 100) SELECT source, i // 5 AS batch, substring(string_agg(text, chr(10) ORDER BY i), 1, 8000) AS text FROM c GROUP BY ALL""")
 def samples_from_chunks(spark: Spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.length("text") > 100).withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") - 1)
+    rows = table(spark, sf_dir, "documents").where(F.length("text") > 100).select("source", "doc_id", "text")
+    rows = rows.select("doc_id", "text").join(E.ranked_ids(rows, "source", "doc_id"), "doc_id")
     items = F.array_sort(F.collect_list(F.struct("i", "text")))
     return rows.groupBy("source", F.floor(F.col("i") / 5).alias("batch")).agg(F.substring(F.array_join(F.transform(items, lambda x: x["text"]), "\n"), 1, 8000).alias("text"))
 

@@ -36,7 +36,15 @@ def _questions(spark: Spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("question_id"), asked.alias("question")).distinct()
 
 
-@query()
+@query(G + f""", q AS (SELECT DISTINCT concat(p_brand, '|', p_type) AS qid, concat('apa itu ', lower(p_type)) AS question FROM part),
+w AS (SELECT qid, list_filter({_W.format("regexp_replace(question, '\\b(" + _STOP + ")\\b', ' ', 'g')")}, lambda w: length(w) > 2)[1:5] AS k, list_filter({_W.format('question')}, lambda w: length(w) > 2) AS v FROM q),
+terms AS (SELECT qid, 1 AS s, unnest(range(0, len(k))) AS rank, unnest(k) AS t FROM w UNION ALL SELECT qid, 3, unnest(range(0, len(v) - 1)), unnest(list_transform(range(1, len(v)), lambda i: concat(v[i], ' ', v[i + 1]))) FROM w),
+b AS (SELECT id, lower(concat_ws(chr(10), label, content)) AS body FROM nodes WHERE type = 'Part'),
+h AS (SELECT t, id, row_number() OVER (PARTITION BY t ORDER BY id) AS n FROM (SELECT DISTINCT t FROM terms WHERE length(t) > 2) JOIN b ON contains(body, t)),
+f AS (SELECT qid, s, id, s * 1000000 + rank * 100 + n AS place FROM terms JOIN h USING (t) WHERE n <= CASE s WHEN 1 THEN 5 ELSE 3 END),
+sure AS (SELECT qid, count(DISTINCT id) AS c FROM f WHERE s < 3 GROUP BY 1),
+best AS (SELECT f.qid, id, min(place) AS place FROM f LEFT JOIN sure USING (qid) WHERE s < 3 OR coalesce(c, 0) < 3 GROUP BY 1, 2)
+SELECT qid AS question_id, id, nth FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place, id) AS nth FROM best) WHERE nth <= 10""")
 def multi_strategy_search(spark: Spark, sf_dir: str) -> DataFrame:
     store = star_graph(spark, sf_dir)
     return retrieval.multi_search(_questions(spark, sf_dir), GraphStore(store.nodes.where("type = 'Part'"), store.edges))
