@@ -131,7 +131,7 @@ def semantic_search(spark: Spark, sf_dir: str) -> DataFrame:
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)), 6) AS cos
 FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.35""")
 def embedding_pairs(spark: Spark, sf_dir: str) -> DataFrame:
-    return vectors.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35).withColumn("cos", F.round("cos", 6))
+    return vectors.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35).select("a", "b", F.round("cos", 6).alias("cos"))
 
 
 @query("""WITH RECURSIVE v AS MATERIALIZED (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
