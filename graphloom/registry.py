@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from graphloom.queries import answering, evaluation, graph, orchestration, patterns, retrieval, text, triples  # noqa: F401
+    from graphloom.queries import answering, evaluation, graph, orchestration, outside, patterns, retrieval, text, triples  # noqa: F401
 
 
 def core_queries() -> dict[str, Query]:
