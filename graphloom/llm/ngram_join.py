@@ -3,8 +3,9 @@
 1. Each text's set of word shingles gets a digest; texts of equal sets are one class from here on.
 2. A set can only link if enough of its shingles occur in a second set. Shingles are told apart by ranges of their hashes:
    each slice of texts sends its distinct shingles to a bounded number of ranges, packed; where that many are too few,
-   ranges are split again in further rounds. A shingle that is met twice is counted for its sets and goes on as one, so a
-   very common one stays small. Only counts come back, for sets that share anything. What remains is a small part.
+   the texts are read in several passes, each over its part of the hashes, so that only one part lies on disk at a time;
+   where passes are too few as well, ranges are split again in further rounds. A shingle that is met twice is counted for
+   its sets and goes on as one, so a very common one stays small. Only counts come back, for sets that share anything. What remains is a small part.
 3. Shingles have one global order: by how common they are, in powers of two, then by hash. Linked sets share a shingle among
    the rarest size - ceil(0.75 size) + 1, so the graph that joins each of these to the least set that has it holds all
    links within its components.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,9 @@ WORDS, PERCENT = 5, 75
 #: Shingles in a counting range, about; sets and shingles that one task joins in a tree.
 BUCKET_TOKENS, UNIT_SETS, UNIT_TOKENS = 1_000_000, 2_000, 4_000_000
 #: Bits of the hash by which a round splits ranges; shingles that a task holds to split them.
-ROUND_BITS, HELD_TOKENS = 8, 1_000_000
+ROUND_BITS, HELD_TOKENS = 9, 1_000_000
+#: Bits of the hash that passes over the texts tell apart, at most.
+PASS_BITS = 2
 #: Sets whose counts are summed in one group; each may have an entry for each of its shingles.
 SETS_A_RANGE = 20_000
 #: The places of a token's power of two in its key of the global order.
@@ -215,13 +219,25 @@ def _rounds(bits: int, round_bits: int) -> list[int]:
     return [bits * (k + 1) // n for k in range(n)]
 
 
-def _ranges(docs: DataFrame, words: int, total: int, bucket_tokens: int, round_bits: int, held: int = HELD_TOKENS, slice_bytes: int = 2 << 20) -> tuple[list[DataFrame], bool]:
+def _bits(n: int, each: int) -> int:
+    """How many bits tell apart ranges of about ``each`` of ``n``; 1 at least."""
+    return max(1, math.ceil(math.log2(max(2, -(-n // each)))))
+
+
+def _pass_bits(total: int, bucket_tokens: int, round_bits: int) -> int:
+    """The bits by which passes part the hashes: those that one round has not, as far as PASS_BITS."""
+    return min(max(0, _bits(total, bucket_tokens) - round_bits), PASS_BITS)
+
+
+def _ranges(docs: DataFrame, words: int, total: int, bucket_tokens: int, round_bits: int, held: int = HELD_TOKENS, slice_bytes: int = 2 << 20, part: tuple[int, int] = (0, 0)) -> tuple[list[DataFrame], bool]:
     """Each round's rows of packed shingles by range, and whether the last ones are narrow.
 
+    part: (bits, number) of the pass; only shingles whose hashes begin with it are taken, without these bits. total: of the pass.
+
     A slice makes one row a range, 2^round_bits at most, in each round, and rows are joined before they are split again: so
     bytes and rows stay in proportion to the texts, at a few dozen bytes a shingle and round.
     """
-    upto = _rounds(max(1, math.ceil(math.log2(max(2, -(-total // bucket_tokens))))), round_bits)
+    upto = _rounds(_bits(total, bucket_tokens), round_bits)
     narrow = len(upto) == 1 and upto[0] <= 32
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +245,12 @@ def _ranges(docs: DataFrame, words: int, total: int, bucket_tokens: int, round_b
             sets = {_digest(s): s for s in shingle_sets(texts, words) if len(s)}
             if sets:
                 keys = np.array([0, *map(_key, sets)], dtype=np.int64)
-                owner = np.repeat(np.arange(1, len(keys)), [len(s) for s in sets.values()])
-                yield _batch(_rows(np.concatenate(list(sets.values())), owner, keys, upto[0], narrow), ["range", "tokens", "owners", "counts", "told"])
+                tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(1, len(keys)), [len(s) for s in sets.values()])
+                if part[0]:
+                    taken = tokens >> np.uint64(64 - part[0]) == part[1]
+                    tokens, owner = tokens[taken] << np.uint64(part[0]), owner[taken]
+                if len(tokens):
+                    yield _batch(_rows(tokens, owner, keys, upto[0], narrow), ["range", "tokens", "owners", "counts", "told"])
         give_back()
 
     made = [docs.mapInArrow(first, _PACKED)]
@@ -254,10 +274,22 @@ def _by_set(sets: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple]:
 def _shared(docs: DataFrame, words: int, total: int, n_sets: int, bucket_tokens: int = BUCKET_TOKENS, round_bits: int = ROUND_BITS, sets_a_range: int = SETS_A_RANGE, **bounds_of_slices: int) -> DataFrame:
     """(key, shared): how many shingles of a set occur in a second set, as far as the bits sent tell; sets that share none have no row.
 
+    Of several passes, each is written before the next one begins.
+    """
+    bits = _pass_bits(total, bucket_tokens, round_bits)
+    passes = [_shared_of_part(docs, words, -(-total >> bits), n_sets, bucket_tokens, round_bits, sets_a_range, (bits, k), **bounds_of_slices) for k in range(1 << bits)]
+    if not bits:
+        return passes[0]
+    return reduce(DataFrame.unionByName, [written(x, "shared") for x in passes]).groupBy("key").agg(F.sum("shared").alias("shared"))
+
+
+def _shared_of_part(docs: DataFrame, words: int, total: int, n_sets: int, bucket_tokens: int, round_bits: int, sets_a_range: int, part: tuple[int, int], **bounds_of_slices: int) -> DataFrame:
+    """(key, shared) as far as the shingles of the pass go.
+
     The counts of a range come back packed by ranges of sets, which are split in rounds and summed likewise.
     """
-    made, narrow = _ranges(docs, words, total, bucket_tokens, round_bits, **bounds_of_slices)
-    upto = _rounds(max(1, math.ceil(math.log2(max(2, -(-n_sets // sets_a_range))))), round_bits)
+    made, narrow = _ranges(docs, words, total, bucket_tokens, round_bits, **bounds_of_slices, part=part)
+    upto = _rounds(_bits(n_sets, sets_a_range), round_bits)
     packed = lambda owners, counts: (np.frombuffer(b"".join(owners), dtype=np.int64), np.frombuffer(b"".join(counts), dtype=np.uint32))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -585,11 +617,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     several = classes.where("members > 1").select("set_id", "first", "members")
     copies = join_common(filled.select("id", "set_id"), several, "set_id", "members").where("id > first").select("id").distinct()
     copies = copies.join(classes.select(F.col("first").alias("id")), "id", "left_anti")
-    copies = broadcast_if_small(written(copies, "copies"))
-    once = texts.join(copies, "id", "left_anti")
+    copies = written(copies, "copies")
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    once = texts.join(F.broadcast(copies) if few else copies, "id", "left_anti")
+    if not few:  # each pass reads the texts
+        once = written(once, "once")
     shared = _shared(once, words, total, n_sets, bucket_tokens, round_bits)
     wanted = classes.join(shared, "key").where(100 * F.col("shared") >= percent * F.col("n")).select(F.col("first").alias("wanted")).distinct()
     wanted = broadcast_if_small(written(wanted, "wanted"))
+    if not few:
+        drop_written(once)
     sets = _token_sets(texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi"), words).dropDuplicates(["set_id"])
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     ordered = _ordered(sets)

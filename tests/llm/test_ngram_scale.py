@@ -1,12 +1,15 @@
 """The n-gram join's counting rounds, blocks and common keys on small tables, and what they make as tables grow."""
 
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import _joins, ngram_join
+from graphloom.plans import scratch
 from tests.llm.test_operators import _components
 
 
@@ -55,6 +58,48 @@ def test_rounds_make_rows_and_bytes_in_proportion(spark):
     assert len(made) == 3
 
 
+@pytest.mark.parametrize("round_bits", [5, 4, 2])
+def test_passes_part_what_lies_on_disk(spark, round_bits):
+    """What one pass sends is in proportion to its part of the shingles, and the passes together count as one."""
+    texts = _texts(np.random.default_rng(2), 200, hot=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    total, size = 13_000, F.length("tokens") + F.length("owners") + F.length("counts")
+    bits = ngram_join._pass_bits(total, 400, round_bits)
+    assert bits == {5: 1, 4: 2, 2: 2}[round_bits]  # 6 bits tell the ranges
+    sent = lambda n, part: sum(rows.agg(F.sum(size)).first()[0] for rows in ngram_join._ranges(docs, 5, n, 400, round_bits, part=part)[0])
+    whole, parts = sent(total, (0, 0)), [sent(total >> bits, (bits, k)) for k in range(1 << bits)]
+    assert max(parts) < 1.3 * whole / (1 << bits)
+    sets = {ngram_join._key(ngram_join._digest(s)): s for s in ngram_join.shingle_sets(texts)}
+    often = Counter(x for s in sets.values() for x in s.tolist())
+    want = {k: n for k, s in sets.items() if (n := sum(often[x] > 1 for x in s.tolist()))}
+    assert {r["key"]: r["shared"] for r in ngram_join._shared(docs, 5, total, 200, 400, round_bits).collect()} == want
+
+
+def test_copies_that_are_too_many_to_broadcast(spark, monkeypatch):
+    """The texts without copies are written once, and all passes read them."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3)
+    texts = _texts(np.random.default_rng(3), 40)
+    rows = list(enumerate(texts + texts[:20] + [None, ""]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs, bucket_tokens=100, round_bits=2).collect()}
+    assert got == _components(rows)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for d in disk.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    rows = spark.range(20_000).repartition(3).groupBy(F.col("id") % 5000).agg(F.count("*").alias("n"))
+    before, setting = files(), spark.conf.get(scratch.CLEANUP, None)
+    table = scratch.written(rows, "freed")
+    for _ in range(50):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(scratch.CLEANUP, None) == setting
+    assert table.agg(F.sum("n")).first()[0] == 20_000 and rows.count() == 5000
+
+
 @pytest.mark.parametrize("unit_sets", [2000, 8])
 def test_blocks_of_many_sizes(spark, unit_sets):
     """Chains of texts that grow, so that links go between neighbouring sizes only, all in one group by a common passage."""
