@@ -85,6 +85,18 @@ def test_copies_that_are_too_many_to_broadcast(spark, monkeypatch):
     assert got == _components(rows)
 
 
+def test_one_of_each_in_passes(spark, monkeypatch):
+    """The pipeline's stage counts in passes as well, and keeps one row of each component."""
+    names, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: names.append(name) or write(df, name))
+    texts = _texts(np.random.default_rng(4), 40)
+    rows = list(enumerate(texts + texts[:20] + [None, ""]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in ngram_join.one_of_each(docs, bucket_tokens=100, round_bits=2).collect())
+    assert names.count("shared") == 4
+    assert got == sorted({c for _, c in _components(rows).values()})
+
+
 def test_shuffle_files_go_when_a_table_is_written(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: {f for d in disk.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
