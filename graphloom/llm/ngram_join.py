@@ -7,14 +7,16 @@
    where passes are too few as well, ranges are split again in further rounds. A shingle that is met twice is counted for
    its sets and goes on as one, so a very common one stays small. Only counts come back, for sets that share anything. What remains is a small part.
 3. Shingles have one global order: by how common they are, in powers of two, then by hash. Linked sets share a shingle among
-   the rarest size - ceil(0.75 size) + 1, so the graph that joins each of these to the least set that has it holds all
-   links within its components.
+   the rarest size - ceil(0.75 size) + 1. Of the few sets that share a rare one of these, two are joined only if as many
+   are shared as a link needs; those of a more common one are joined to the least set that has it. So all links lie within
+   the components of this graph, and chance shingles, which grow with the square of the table, don't tie them together.
 4. A component goes to one task, as ordered sets in a tree: common shingles first, paths shared. Each set walks down the
    tree with the overlap so far; a subtree is left when the lengths that remain can't reach the overlap asked for, or
    when all its sets already belong to the walker's component.
 5. Components above a bounded size are dealt out, with some sets in all parts; afterwards, in each block of a shingle that
    still holds several components, all but the largest of them meet those sets of the block whose sizes allow a link, in
-   bounded runs. So every link lies in some task, whatever the group's size.
+   bounded runs; of rare shingles, the joined pairs that are still apart meet, once each. So every link lies in some task,
+   whatever the group's size.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ ORDER_SHIFT = 58
 ARRAY_CHARS = 1_000_000
 #: Shingles, or sets of mixed blocks, of small units that share a task, about.
 BIN_TOKENS, BIN_SETS = 200_000, 400
+#: Sets that share a rare shingle, at most; they are compared as pairs, (PAIR_MEMBERS - 1) / 2 for each of a set's rarest shingles at most.
+PAIR_MEMBERS = 16
 #: Edges that a task of the components takes.
 ROWS_A_TASK = 250_000
 
@@ -542,14 +546,33 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else n.cast("int")
 
 
+def _pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pairs of sets that may link by the number of rare shingles (node, n, token) they share.
+
+    All that linked sets share beyond their prefixes lies in the rest of the one whose prefix ends first. So what they share
+    within the prefixes and the larger rest must reach the overlap asked for. What a pair shares of shingles that aren't
+    rare isn't counted here: such a pair meets by those.
+    """
+    one = prefix.select("token", F.col("node").alias("u"), F.col("n").alias("n"))
+    two = prefix.select("token", F.col("node").alias("v"), F.col("n").alias("m"))
+    both = one.join(two, "token").where((F.col("u") < F.col("v")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    shared = both.groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"))
+    rest = F.ceil(F.greatest("n", "m") * percent / F.lit(100)) - 1
+    return shared.where((100 + percent) * (F.col("shared") + rest) >= percent * (F.col("n") + F.col("m"))).select("u", "v")
+
+
 def _links(sets: DataFrame, percent: int, unit_sets: int, unit_tokens: int) -> DataFrame:
     """(u, v): edges whose components are those of all links between the ordered sets (node, n, keys)."""
     # Of a set's rarest shingles, those that only it has come first and need no entry.
     length = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - (F.col("n") - F.size("keys")), F.lit(0)).cast("int")
     prefix = sets.select("node", "n", F.explode(F.slice("keys", F.size("keys") - length + 1, length)).alias("token"))
     prefix = written(prefix, "prefixes")
-    least = written(prefix.groupBy("token").agg(F.min("node").alias("first"), F.count("*").alias("members")), "least")
-    group = written(components(join_common(prefix, least, "token", "members").select(F.col("node").alias("u"), F.col("first").alias("v"))), "candidates")
+    least = prefix.groupBy("token").agg(F.min("node").alias("first"), F.count("*").alias("members"))
+    least = written(least.where("members > 1"), "least")
+    prefix = written(join_common(prefix, least, "token", "members"), "shared-prefixes")
+    pairs = written(_pairs(prefix.where(F.col("members") <= PAIR_MEMBERS), percent), "pairs")
+    prefix = prefix.where(F.col("members") > PAIR_MEMBERS)
+    group = written(components(pairs.unionByName(prefix.select(F.col("node").alias("u"), F.col("first").alias("v")))), "candidates")
     sized = group.join(sets.select("node", F.size("keys").alias("held")), "node")
     total = sized.groupBy("root").agg(F.count("*").alias("members"), F.sum("held").alias("held")).where("members > 1")
     parts = F.greatest(F.ceil(F.col("members") / unit_sets), F.ceil(F.col("held") / unit_tokens)).cast("int")
@@ -568,11 +591,15 @@ def _links(sets: DataFrame, percent: int, unit_sets: int, unit_tokens: int) -> D
     links = _joined(units.withColumn("part", F.col("node")).withColumn("walks", F.lit(True)), sets, percent, bins, unit_sets)
     if total.where("parts > 1").isEmpty():
         return links
-    # What a large group still leaves apart: blocks of one shingle that hold several components so far. Within a block, all
-    # that is not of its largest component meets what of the block has a fitting size, in bounded runs; the largest component
-    # is one already and doesn't walk.
+    # What a large group still leaves apart: pairs, and blocks of one common shingle that hold several components so far.
+    # Within a block, all that is not of its largest component meets what of the block has a fitting size, in bounded runs;
+    # the largest component is one already and doesn't walk.
     so_far = written(components(links), "so-far").select("node", F.col("root").alias("part"))
-    rows = prefix.join(large.select("node"), "node").join(so_far, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parted = written(large.select("node").join(so_far, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts-so-far")
+    part_of = lambda end: parted.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+    apart = pairs.join(part_of("u"), "u").join(part_of("v"), "v").where("part_u <> part_v").withColumn("unit", F.concat_ws("-", F.lit("p"), "u", "v"))
+    ends = (apart.select("unit", F.col(end).alias("node"), F.col(f"part_{end}").alias("part"), F.lit(True).alias("walks")) for end in ("u", "v"))
+    rows = prefix.join(parted, "node")
     rows = written(rows.select("token", "node", "part", _size_class(F.col("n"), percent).alias("c")), "large-prefixes")
     counts = rows.groupBy("token", "part").agg(F.count("*").alias("members")).groupBy("token").agg(F.max(F.struct("members", "part")).alias("m"), F.sum("members").alias("members"))
     main = written(counts.where(F.col("m.members") < F.col("members")).select("token", F.col("m.part").alias("main"), "members"), "mixed-blocks")
@@ -595,7 +622,7 @@ def _links(sets: DataFrame, percent: int, unit_sets: int, unit_tokens: int) -> D
     lower = F.when(d == 0, F.least(run, other)).when(d > 0, run).otherwise(other)
     upper = F.when(d == 0, F.greatest(run, other)).when(d > 0, other).otherwise(run)
     among = among.select(unit("r", F.least(c, c + d), F.abs(d), lower, upper), "node", "part", F.lit(True).alias("walks"))
-    units = written(with_main.unionByName(of_main).unionByName(among).distinct(), "blocks")
+    units = written(reduce(DataFrame.unionByName, [of_main, among, *ends], with_main).distinct(), "blocks")
     return links.unionByName(_joined(units, sets, percent, max(bins, units.count() // BIN_SETS), unit_sets))
 
 

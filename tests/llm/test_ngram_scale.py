@@ -125,6 +125,54 @@ def test_blocks_of_many_sizes(spark, unit_sets):
     assert got == _components(rows)
 
 
+def _chance(rng, pairs):
+    """Near copies in pairs, whose texts share four single shingles with texts of other pairs, as in large tables by chance."""
+    ends = iter(rng.permutation(8 * pairs) // 2)
+    out = []
+    for _ in range(pairs):
+        own = [f"w{rng.integers(10**9)}" for _ in range(200)]
+        for _ in range(2):
+            out.append(" ".join([*own, *(f"chance{c}x{j}" for c in [next(ends) for _ in range(4)] for j in range(5))]))
+    return out
+
+
+def test_chance_shingles_do_not_tie_near_copies(spark, monkeypatch):
+    """The rows in units stay in proportion to the sets."""
+    seen, write = Counter(), ngram_join.written
+
+    def counted(df, name):
+        out = write(df, name)
+        seen[name] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    rows = list(enumerate(_chance(np.random.default_rng(6), 100)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs, unit_sets=8).collect()}
+    assert got == _components(rows)
+    assert len({c for _, c in got.values()}) == 100
+    assert seen["units"] + seen["blocks"] <= 200
+
+
+def test_pairs_that_may_link_are_all_kept(spark):
+    """The pairs by rare shingles are held against all pairs, for sets of many sizes and overlaps."""
+    rng = np.random.default_rng(7)
+    sets = [set(range(1000 * k, 1000 * k + 40)) for k in range(6)]
+    for k in range(24):
+        base = sorted(sets[k % 6])
+        own = set(rng.choice(base, int(rng.integers(26, 41)), replace=False).tolist())
+        sets.append(own | set(range(10**6 + 100 * k, 10**6 + 100 * k + int(rng.integers(0, 12)))))
+    often = Counter(x for s in sets for x in s)
+    rows = []
+    for node, s in enumerate(sets):
+        order = sorted(s, key=lambda x: (often[x], x))
+        rows += [(node, len(s), x) for x in order[: len(s) - -(-75 * len(s) // 100) + 1]]
+    prefix = spark.createDataFrame(rows, "node long, n long, token long")
+    got = {(r["u"], r["v"]) for r in ngram_join._pairs(prefix, 75).collect()}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert want and want <= got
+
+
 def test_common_keys_are_joined_apart(spark, monkeypatch):
     monkeypatch.setattr(_joins, "HOT_ROWS", 10)
     rows = spark.createDataFrame([(k % 40 if k % 3 else -1, k) for k in range(600)], "key long, v long")
