@@ -13,11 +13,13 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from graphloom.llm import quality_rules
 from graphloom.llm.queries import llm_oracles, llm_queries
+from graphloom.plans.sizes import broadcast_if_small
 from tests.llm.test_operators import WORDS, _components
 
 SF = "/root/testdata/sf0.001"
@@ -112,6 +114,26 @@ def test_quality_stage(stages, folder):
     assert 0 < len(after) < len(before) and all(r == texts[r["doc_id"]] for r in after)
 
 
+def test_all_labelled_documents_are_trusted(spark):
+    """Trusted documents count however many labels there are, whatever their ids' hashes."""
+    labels = spark.range(100_100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    last = labels.orderBy(F.xxhash64("doc_id").desc()).limit(20).select("doc_id")
+    docs = last.withColumn("text", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("w"), F.col("doc_id") % 7 + k))))
+    assert quality_rules.fit(docs, labels).threshold is not None
+
+
+@pytest.mark.parametrize(("bitmaps", "ids"), [(4096, 1_000_000), (0, 1_000_000), (0, 3)])
+def test_trusted_ids_by_bitmaps_broadcast_and_shuffle(spark, monkeypatch, bitmaps, ids):
+    monkeypatch.setattr(quality_rules, "MAX_BITMAPS", bitmaps)
+    monkeypatch.setattr(quality_rules, "broadcast_if_small", lambda df: broadcast_if_small(df, limit=ids))
+    trusted = [-40_000, -32_768, -3, 0, 1, 7, 8, 32_768, 32_769, 70_000, 2**62, 2**63 - 1, -(2**63) + 1, 7, 8]
+    near = sorted({x + d for x in trusted for d in (-1, 0, 1) if -(2**63) < x + d < 2**63})
+    texts = spark.createDataFrame([(x, "a") for x in [*near, None, 7]], "__id long, __text string").repartition(3)
+    got = quality_rules._marked(texts, spark.createDataFrame([(x,) for x in trusted], "__id long")).collect()
+    assert len(got) == len(near) + 2
+    assert all((r["__trusted"] == 1) == (r["__id"] in trusted) for r in got)
+
+
 def _without_lines(rows, min_docs=10, depth=3):
     """The texts that line dedup leaves, by id."""
     def mask(line):
