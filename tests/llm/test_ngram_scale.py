@@ -154,6 +154,16 @@ def test_chance_shingles_do_not_tie_near_copies(spark, monkeypatch):
     assert seen["units"] + seen["blocks"] <= 200
 
 
+def test_one_of_each_of_a_group_tied_by_a_passage(spark):
+    """Near copies that a common passage ties to all others, in a group too large for one unit, meet as pairs in the pipeline's stage."""
+    rng, texts = np.random.default_rng(8), []
+    for _ in range(40):
+        own = [f"w{rng.integers(10**9)}" for _ in range(30)]
+        texts += [" ".join([*own, *(f"shared{k}" for k in range(150)), f"last{k}"]) for k in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(docs, unit_sets=8).collect()) == list(range(0, 80, 2))
+
+
 def test_pairs_that_may_link_are_all_kept(spark):
     """The pairs by rare shingles are held against all pairs, for sets of many sizes and overlaps."""
     rng = np.random.default_rng(7)
