@@ -43,6 +43,8 @@ BUCKET_TOKENS, UNIT_SETS, UNIT_TOKENS = 1_000_000, 2_000, 4_000_000
 ROUND_BITS, HELD_TOKENS = 9, 1_000_000
 #: Bits of the hash that passes over the texts tell apart, at most.
 PASS_BITS = 2
+#: Shingles of sets that may link which a pass puts in order, about, and the bits by which such passes part the hashes, at most.
+PASS_ENTRIES, ORDER_BITS = 16_000_000, 3
 #: Sets whose counts are summed in one group; each may have an entry for each of its shingles.
 SETS_A_RANGE = 20_000
 #: The places of a token's power of two in its key of the global order.
@@ -330,16 +332,20 @@ def _token_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "set_id binary, n long, tokens binary")
 
 
-def _entries(sets: DataFrame) -> DataFrame:
-    """(token, node) for each shingle of each set."""
+def _entries(sets: DataFrame, part: tuple[int, int] = (0, 0)) -> DataFrame:
+    """(token, node) for each shingle of each set; part: (bits, number) of the pass, whose shingles' hashes begin with it."""
+    bits, number = part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 tokens = [np.frombuffer(x, dtype=np.int64) for x in part.column(1).to_pylist()]
-                nodes = np.repeat(part.column(0).to_numpy(), [len(t) for t in tokens])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(nodes)], names=["token", "node"])
+                nodes, tokens = np.repeat(part.column(0).to_numpy(), [len(t) for t in tokens]), np.concatenate(tokens)
+                if bits:
+                    taken = tokens.view(np.uint64) >> np.uint64(64 - bits) == number
+                    tokens, nodes = tokens[taken], nodes[taken]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], names=["token", "node"])
 
     return sets.select("node", "tokens").mapInArrow(run, "token long, node long")
 
@@ -528,17 +534,38 @@ def _joined(units: DataFrame, sets: DataFrame, percent: int, bins: int, unit_set
     return written(rows.groupBy("bin").applyInPandas(join, "u long, v long"), "links")
 
 
-def _ordered(sets: DataFrame) -> DataFrame:
-    """(node, n, keys): of each set the keys of the shingles that a second set has, ascending: common ones first.
-
-    A key holds the power of two of the shingle's number of sets, and 58 bits of its hash.
-    """
-    entries = _entries(sets)
+def _keys(sets: DataFrame, part: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame]:
+    """(node, keys) of each set with shingles of the pass that a second set has, and the written table of these shingles."""
+    entries = _entries(sets, part)
     common = written(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")
     power = F.least(F.floor(F.log2("df")).cast("long"), F.lit(31))
     shared = join_common(entries, common, "token", "df").select("node", F.shiftleft(31 - power, ORDER_SHIFT).bitwiseOR(F.shiftrightunsigned("token", 64 - ORDER_SHIFT)).alias("key"))
-    per_set = shared.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    return written(sets.select("node", "n").join(per_set, "node"), "ordered")
+    return shared.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys")), common
+
+
+def _ordered(sets: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, n, keys): of each set the keys of the shingles that a second set has, ascending: common ones first.
+
+    A key holds the power of two of the shingle's number of sets, and 58 bits of its hash. Many shingles are ordered in
+    passes over parts of their hashes, so that rows of one shingle each lie on disk for one part at a time. ``sets``, a
+    written table, is removed as soon as all have keys; ``named`` has (node, n) of its rows.
+    """
+    total = named.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(0, math.ceil(math.log2(max(1, total / PASS_ENTRIES)))), ORDER_BITS)
+    parts = []
+    for k in range(1 << bits):
+        per_set, common = _keys(sets, (bits, k))
+        if not bits:
+            break
+        parts.append(written(per_set, "keys"))
+        drop_written(common)
+    else:
+        drop_written(sets)
+        per_set = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys"))
+    out = written(named.select("node", "n").join(per_set, "node"), "ordered")
+    for table in parts or [sets, common]:
+        drop_written(table)
+    return out
 
 
 def _size_class(n: Column, percent: int) -> Column:
@@ -656,12 +683,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         drop_written(once)
     sets = _token_sets(texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi"), words).dropDuplicates(["set_id"])
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    ordered = _ordered(sets)
-    named = written(sets.select("set_id", "node"), "nodes")
-    drop_written(sets)
+    named = written(sets.select("set_id", "node", "n"), "nodes")
+    ordered = _ordered(sets, named)
     links = written(components(_links(ordered, percent, unit_sets, unit_tokens)), "components")
     drop_written(ordered)
-    of_class = written(named.join(links, "node").join(classes.select("set_id", "first"), "set_id").select("set_id", "root", "first"), "linked")
+    of_class = written(named.drop("n").join(links, "node").join(classes.select("set_id", "first"), "set_id").select("set_id", "root", "first"), "linked")
     least = written(of_class.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("sets")), "least-ids")
     of_class = join_common(of_class, least, "root", "sets").select("set_id", "component")
     # A row that is alone in its class and its component is its own; only the others need a join.

@@ -97,6 +97,25 @@ def test_one_of_each_in_passes(spark, monkeypatch):
     assert got == sorted({c for _, c in _components(rows).values()})
 
 
+def test_sets_are_put_in_order_in_passes(spark, monkeypatch):
+    """No pass makes a row of each shingle for more than its part of them; the results are those of one pass."""
+    made, entries = [], ngram_join._entries
+
+    def counted(*args):
+        out = entries(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_entries", counted)
+    monkeypatch.setattr(ngram_join, "PASS_ENTRIES", 1000, raising=False)
+    texts = _texts(np.random.default_rng(9), 200)
+    rows = list(enumerate([*texts, *texts[:20], None, ""]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()}
+    assert got == _components(rows)
+    assert max(made) < 0.4 * sum(made), made
+
+
 def test_shuffle_files_go_when_a_table_is_written(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: {f for d in disk.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
